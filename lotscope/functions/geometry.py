@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.model import PARTS_DDL
@@ -84,6 +84,13 @@ def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: fn(v))[0]
 
 
+def evaluated(df: DataFrame, value: Column, *names: str) -> DataFrame:
+    """``df`` with the fields of the struct ``value`` as columns, worked out at this very
+    place: a generator keeps later filters from being pushed below it, which would
+    repeat a costly expression inside the filter."""
+    return df.select("*", F.inline(F.array(value)).alias(*names))
+
+
 # -- structure -------------------------------------------------------------
 
 def is_point(g: Column) -> Column:

@@ -42,7 +42,7 @@ def safe_file_name(name: Column) -> Column:
     kept = F.regexp_replace(
         F.replace(fold_accents(name), F.lit(" "), F.lit("_")), "[^A-Za-z0-9_]", ""
     )
-    return F.when(kept == "", UNNAMED_FILE).otherwise(kept)
+    return F.regexp_replace(kept, "^$", UNNAMED_FILE)
 
 
 def report_file_name(description: Column) -> Column:

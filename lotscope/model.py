@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -67,31 +68,33 @@ def struct_type(table: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[table])
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One DataFrame per base table; ``import`` and ``rank`` carry a suffix."""
-
-    observation: DataFrame
-    source: DataFrame
-    import_: DataFrame
-    dataset: DataFrame
-    framework: DataFrame
-    taxref: DataFrame
-    rank_: DataFrame
-    nomenclature: DataFrame
-    validation: DataFrame
-    area: DataFrame
-    area_type: DataFrame
-    cor_area: DataFrame
-    invasive: DataFrame
-    report: DataFrame
-
-    def items(self):
-        return [(f.name.rstrip("_"), getattr(self, f.name)) for f in fields(self)]
+    """The base tables by name, each made when it is first asked for.  ``import`` and
+    ``rank`` are attributes with a suffix: ``import_``, ``rank_``."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        missing = set(SCHEMAS) - set(makers)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
 
     @classmethod
     def of(cls, frames: dict[str, DataFrame]) -> Tables:
-        return cls(**{f.name: frames[f.name.rstrip("_")] for f in fields(cls)})
+        return cls({name: (lambda df=df: df) for name, df in frames.items()})
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name.rstrip("_") not in SCHEMAS:
+            raise AttributeError(name)
+        return self[name.rstrip("_")]
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, self[name]) for name in SCHEMAS]
 
 
 # They decide the results and are kept as they are.

@@ -68,26 +68,30 @@ class AreaIndex:
     def hit_geometry(self, g: Column) -> Column:
         """Is the geometry within reach of the area, as far as this cell can tell?  True
         in at least one of the geometry's cells exactly when they are within reach."""
-        near, strip = F.col("near"), F.col("strip")
+        near, strip, no = F.col("near"), F.col("strip"), F.lit(False)
 
-        def spread(segs: Column) -> Column:
-            touching = F.exists(
-                segs, lambda s: F.exists(near, lambda t: geo.segments_within(s, t, self.reach))
-            )
-            covered = F.exists(near, lambda t: geo.within(t["x1"], t["y1"], segs))
-            covering = F.exists(
+        def anchored(known: Column | None = None) -> Column:
+            """Has a part its first vertex in this cell and in the area?"""
+            return F.exists(
                 geo.anchors(g),
                 lambda v: (F.floor(v["x"] / self.size) == F.col("cx"))
                 & (F.floor(v["y"] / self.size) == F.col("cy"))
-                & (F.col("inside") | F.coalesce(geo.within(v["x"], v["y"], strip), F.lit(False))),
+                & (F.coalesce(geo.within(v["x"], v["y"], strip), no) if known is None else known),
             )
-            no = F.lit(False)
-            return F.coalesce(covering, no) | F.coalesce(touching, no) | F.coalesce(covered, no)
+
+        def meeting(segs: Column) -> Column:
+            touching = F.exists(
+                segs, lambda s: F.exists(near, lambda t: geo.segments_within(s, t, self.reach))
+            )
+            covered = F.exists(near, lambda t: geo.within(t["x1"], t["y1"], segs))
+            return anchored() | touching | covered
 
         return (
-            F.when(F.col("inside").isNull(), F.lit(False))
+            F.when(F.col("inside").isNull(), no)
             .when(geo.is_point(g), self.hit_point(g["xmin"], g["ymin"]))
-            .otherwise(geo.bind(geo.segments(g), spread))
+            # Away from the boundary only a part that lies wholly inside can matter here.
+            .when(F.col("inside"), anchored(F.lit(True)))
+            .otherwise(geo.bind(geo.segments(g), meeting))
         )
 
 

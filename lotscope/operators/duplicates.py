@@ -28,17 +28,13 @@ def within_report(ws: Workspace) -> DataFrame:
     row per task.  Grouping is on local coordinates; only the groups that survive are
     projected and named.
     """
-    place = F.col("place")
+    x, y = F.col("x"), F.col("y")
     rows = ws.per_report(
-        ws.observation.select("lot_id", *SHARED, "geom")
-    ).select(
-        "report_id",
-        *SHARED,
-        F.col("geom.kind").alias("geom_type"),
-        geo.snapped_centroid(F.col("geom"), ws.params.snap_m).alias("place"),
+        ws.observation.select("lot_id", *SHARED, F.col("geom.kind").alias("geom_type"), "geom")
     )
     groups = (
-        rows.groupBy("report_id", *SHARED, "geom_type", "place")
+        geo.evaluated(rows, geo.snapped_centroid(F.col("geom"), ws.params.snap_m), "x", "y")
+        .groupBy("report_id", *SHARED, "geom_type", "x", "y")
         .agg(F.count(F.lit(1)).alias("nb_data_similaire"))
         .filter("nb_data_similaire > 1")
     )
@@ -47,8 +43,8 @@ def within_report(ws: Workspace) -> DataFrame:
         groups.join(taxa, "cd_nom", "left")
         .select(
             "report_id", "cd_nom", "lb_nom", "nom_vern", "geom_type",
-            LAMBERT93.lat(place["x"], place["y"]).alias("lat"),
-            LAMBERT93.lon(place["x"], place["y"]).alias("lon"),
+            LAMBERT93.lat(x, y).alias("lat"),
+            LAMBERT93.lon(x, y).alias("lon"),
             "observers", "id_nomenclature_sex", "id_nomenclature_obs_technique",
             "count_max", "count_min", "id_nomenclature_life_stage",
             F.date_format("date_min", "yyyy-MM-dd").alias("date"),
@@ -98,31 +94,38 @@ def _in_cells(df: DataFrame, prefix: str, levels: Column, margin: float, reach:
 
 def copies(ws: Workspace) -> DataFrame:
     """Observations with everything equal that matters here (taxon, start, geometry,
-    lot) as one row with their number ``n`` and a stable identifier ``gid``.  Groups
+    lot) as one row with their number ``n`` and a stable identifier ``gid``.  Those
     whose taxon and start occur in a single lot cannot pair and are dropped;
-    ``levels`` are the grid levels present for the taxon and start, as bits."""
+    ``levels`` are the grid levels present for the taxon and start, as bits.
+
+    Both aggregates combine before their shuffle, and the one by taxon and start reads
+    no vertices.
+    """
     reach = ws.params.duplicate_distance_m
     key = ["cd_nom", "date_min"]
-    groups = (
+    placed = (
         ws.observation.select("id_synthese", *key, "id_source", "id_import", "geom")
         .filter(F.col("geom.kind").isNotNull())
         .filter(F.col("cd_nom").isNotNull() & F.col("date_min").isNotNull())
-        .groupBy(*key, "id_source", "id_import", "geom")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
-        .withColumn("own", _level(F.col("geom"), reach))
     )
     no_import = F.coalesce(F.col("id_import"), F.lit(-1))
+    level = _level(F.col("geom"), reach)
     several = (
-        groups.groupBy(*key)
+        placed.groupBy(*key)
         .agg(
             F.min("id_source").alias("s0"), F.max("id_source").alias("s1"),
             F.min(no_import).alias("i0"), F.max(no_import).alias("i1"),
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("own"))).alias("levels"),
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("levels"),
         )
         .filter("s0 <> s1 OR i0 <> i1")
         .select(*key, "levels")
     )
-    return groups.join(several, key)
+    return (
+        placed.groupBy(*key, "id_source", "id_import", "geom")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
+        .join(several, key)
+        .withColumn("own", level)
+    )
 
 
 def close_pairs(ws: Workspace) -> DataFrame:

@@ -113,18 +113,11 @@ def summary(ws: Workspace) -> DataFrame:
 
 def points(ws: Workspace) -> DataFrame:
     """One row per listed taxon and distinct geometry, at its centroid."""
-    centre = F.col("centre")
-    return (
-        sightings(ws)
-        .groupBy(*TAXON, "geom")
-        .agg(_observed_sectors().alias("secteur_obs"))
-        .withColumn("centre", geo.centroid(F.col("geom")))
-        .select(
-            "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue_orb"),
-            "secteur_obs",
-            LAMBERT93.lat(centre["x"], centre["y"]).alias("lat"),
-            LAMBERT93.lon(centre["x"], centre["y"]).alias("lon"),
-        )
+    x, y = F.col("x"), F.col("y")
+    found = sightings(ws).groupBy(*TAXON, "geom").agg(_observed_sectors().alias("secteur_obs"))
+    return geo.evaluated(found, geo.centroid(F.col("geom")), "x", "y").select(
+        "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue_orb"),
+        "secteur_obs", LAMBERT93.lat(x, y).alias("lat"), LAMBERT93.lon(x, y).alias("lon"),
     )
 
 

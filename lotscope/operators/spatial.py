@@ -39,26 +39,26 @@ def outside_region(ws: Workspace) -> DataFrame:
     p = ws.params
     region = regions(ws).orderBy("id_area").limit(1)
     index = area_index.build(region, "id_area", p.index_cell_m, p.region_margin_m, p.broadcast_rows)
-    centre = F.col("centre")
+    x, y = F.col("x"), F.col("y")
+    rows = ws.reported(
+        ws.observation.select(
+            "id_synthese", "lot_id", "id_source", "id_import", "nom_cite",
+            F.col("date_max").cast("date").alias("date_max"), "observers", "geom",
+        ).filter(F.col("geom.kind").isNotNull())
+    )
     located = (
-        ws.reported(
-            ws.observation.select(
-                "id_synthese", "lot_id", "id_source", "id_import", "nom_cite",
-                F.col("date_max").cast("date").alias("date_max"), "observers", "geom",
-            ).filter(F.col("geom.kind").isNotNull())
-        )
-        .withColumn("centre", geo.centroid(F.col("geom")))
+        geo.evaluated(rows, geo.centroid(F.col("geom")), "x", "y")
         .drop("geom")
-        .withColumns(index.cell_of(centre["x"], centre["y"]))
+        .withColumns(index.cell_of(x, y))
     )
     far = (
         located.join(index.cells.drop("id_area"), ["cx", "cy"], "left")
-        .filter(~index.hit_point(centre["x"], centre["y"]) & F.lit(index.extent is not None))
+        .filter(~index.hit_point(x, y) & F.lit(index.extent is not None))
     )
     return ws.per_report(far).select(
         "report_id", "id_synthese",
-        LAMBERT93.lat(centre["x"], centre["y"]).alias("lat"),
-        LAMBERT93.lon(centre["x"], centre["y"]).alias("lon"),
+        LAMBERT93.lat(x, y).alias("lat"),
+        LAMBERT93.lon(x, y).alias("lon"),
         "id_source", "id_import", "nom_cite", "date_max", "observers",
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotscope.functions import geometry as geo
 from lotscope.model import PARTS_DDL, SCHEMAS, Params, Tables, struct_type
@@ -79,8 +80,22 @@ REPORTS = (
 )
 
 
-def _literal(spark: SparkSession, rows, columns: str) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rows], columns)
+def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A few constant rows, kept in the plan as such: their size is then known."""
+
+    def sql(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v}D" if isinstance(v, float) else str(v)
+
+    fields = T.StructType.fromDDL(schema).fields
+    values = ", ".join("(" + ", ".join(sql(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f.name for f in fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
+    )
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
@@ -225,83 +240,99 @@ def cor_area(orders: DataFrame) -> DataFrame:
     return _shaped(rows, "cor_area")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """A small table stored as one row group is read by one task; give every core a
     share of it.  A table read by enough tasks is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def tables(spark: SparkSession, folder: str) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+# Columns read from the test tables.
+READ = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+}
+
 
-    orders, nation, region, part = (read(n) for n in ("orders", "nation", "region", "part"))
-    orders = _spread(orders, "o_orderkey")
-    nk, pk = F.col("n_nationkey"), F.col("p_partkey")
+def dataset(nation: DataFrame) -> DataFrame:
+    key = F.col("n_nationkey")
 
-    def flag(key: str, value: Column) -> Column:
-        return F.concat(F.lit(f'"{key}": '), F.when(value, "true").otherwise("false"))
+    def flag(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}": '), F.when(value, "true").otherwise("false"))
 
     flags = F.concat(
-        F.lit("{"), flag("to_pole_vert", nk % 2 == 0), F.lit(", "),
-        flag("to_pole_inv", nk % 3 == 0), F.lit("}"),
+        F.lit("{"), flag("to_pole_vert", key % 2 == 0), F.lit(", "),
+        flag("to_pole_inv", key % 3 == 0), F.lit("}"),
     )
-    code = F.element_at(F.array(*[F.lit(c) for c in RANK_CODES]), (F.col("p_size") % 5 + 1))
-    frames = {
-        "observation": observation(orders),
-        "validation": validation(orders),
-        "cor_area": cor_area(orders),
-        "area": area(spark),
-        "area_type": _literal(spark, [(26, "DEP"), (27, "M5"), (28, "REG")], SCHEMAS["area_type"]),
-        "dataset": _shaped(
-            nation.select(
-                nk.alias("id_dataset"),
-                F.concat(F.lit("d-"), nk.cast("string")).alias("unique_dataset_id"),
-                F.col("n_name").alias("dataset_name"),
-                F.concat(F.lit("Dataset of "), "n_name").alias("dataset_desc"),
-                F.col("n_regionkey").alias("id_acquisition_framework"),
-                flags.alias("additional_data"),
-            ),
-            "dataset",
-        ),
-        "framework": _shaped(
-            region.select(
-                F.col("r_regionkey").alias("id_acquisition_framework"),
-                F.concat(F.lit("f-"), F.col("r_regionkey").cast("string")).alias(
-                    "unique_acquisition_framework_id"
-                ),
-                F.col("r_name").alias("acquisition_framework_name"),
-                F.concat(F.lit("Framework of "), "r_name").alias("acquisition_framework_desc"),
-            ),
-            "framework",
-        ),
-        "taxref": _shaped(
-            part.select(
-                pk.alias("cd_nom"), (pk - pk % 3).alias("cd_ref"), code.alias("id_rang"),
-                F.col("p_name").alias("lb_nom"), F.col("p_brand").alias("nom_vern"),
-                F.col("p_type").alias("group2_inpn"),
-            ),
-            "taxref",
-        ),
-        "rank": _literal(spark, RANKS, SCHEMAS["rank"]),
-        "nomenclature": _literal(spark, STATUSES, SCHEMAS["nomenclature"]),
-        "source": _shaped(
-            _literal(
-                spark, SOURCES,
+    rows = nation.select(
+        key.alias("id_dataset"),
+        F.concat(F.lit("d-"), key.cast("string")).alias("unique_dataset_id"),
+        F.col("n_name").alias("dataset_name"),
+        F.concat(F.lit("Dataset of "), "n_name").alias("dataset_desc"),
+        F.col("n_regionkey").alias("id_acquisition_framework"),
+        flags.alias("additional_data"),
+    )
+    return _shaped(rows, "dataset")
+
+
+def framework(region: DataFrame) -> DataFrame:
+    key = F.col("r_regionkey")
+    rows = region.select(
+        key.alias("id_acquisition_framework"),
+        F.concat(F.lit("f-"), key.cast("string")).alias("unique_acquisition_framework_id"),
+        F.col("r_name").alias("acquisition_framework_name"),
+        F.concat(F.lit("Framework of "), "r_name").alias("acquisition_framework_desc"),
+    )
+    return _shaped(rows, "framework")
+
+
+def taxref(part: DataFrame) -> DataFrame:
+    key = F.col("p_partkey")
+    code = F.element_at(F.array(*[F.lit(c) for c in RANK_CODES]), F.col("p_size") % 5 + 1)
+    rows = part.select(
+        key.alias("cd_nom"), (key - key % 3).alias("cd_ref"), code.alias("id_rang"),
+        F.col("p_name").alias("lb_nom"), F.col("p_brand").alias("nom_vern"),
+        F.col("p_type").alias("group2_inpn"),
+    )
+    return _shaped(rows, "taxref")
+
+
+def tables(spark: SparkSession, folder: str) -> Tables:
+    def read(name: str) -> DataFrame:
+        return spark.read.schema(READ[name]).parquet(f"{folder}/{name}.parquet")
+
+    def orders() -> DataFrame:
+        return spread(read("orders"), "o_orderkey")
+
+    def rows(table: str, values, columns: str | None = None):
+        literal = lambda: _literal(spark, values, columns or SCHEMAS[table])
+        return literal if columns is None else lambda: _shaped(literal(), table)
+
+    return Tables(
+        {
+            "observation": lambda: observation(orders()),
+            "validation": lambda: validation(orders()),
+            "cor_area": lambda: cor_area(orders()),
+            "area": lambda: area(spark),
+            "area_type": rows("area_type", [(26, "DEP"), (27, "M5"), (28, "REG")]),
+            "dataset": lambda: dataset(read("nation")),
+            "framework": lambda: framework(read("region")),
+            "taxref": lambda: taxref(read("part")),
+            "rank": rows("rank", RANKS),
+            "nomenclature": rows("nomenclature", STATUSES),
+            "source": rows(
+                "source", SOURCES,
                 "id_source int, name_source string, desc_source string, "
                 "meta_update_date string, additional_data string",
             ),
-            "source",
-        ),
-        "import": _shaped(
-            _literal(
-                spark, IMPORT_ROWS,
+            "import": rows(
+                "import", IMPORT_ROWS,
                 "id_import int, date_create_import string, additional_data string",
             ),
-            "import",
-        ),
-        "invasive": _literal(spark, INVASIVE, SCHEMAS["invasive"]),
-        "report": _literal(spark, REPORTS, SCHEMAS["report"]),
-    }
-    return Tables.of(frames)
+            "invasive": rows("invasive", INVASIVE),
+            "report": rows("report", REPORTS),
+        }
+    )

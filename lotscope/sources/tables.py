@@ -12,14 +12,17 @@ from lotscope.model import SCHEMAS, Tables, struct_type
 def read_parquet(spark: SparkSession, root: str) -> Tables:
     """All tables under ``root``, one folder or file each, with declared schemas.  A
     stored ``lot_id`` of the observations is read along."""
-    frames = {}
-    for name in SCHEMAS:
-        schema = struct_type(name)
-        path = f"{root}/{name}.parquet"
-        if name == "observation" and "lot_id" in spark.read.parquet(path).columns:
-            schema = schema.add("lot_id", "string")
-        frames[name] = spark.read.schema(schema).parquet(path)
-    return Tables.of(frames)
+
+    def reader(name: str):
+        def read() -> DataFrame:
+            schema, path = struct_type(name), f"{root}/{name}.parquet"
+            if name == "observation" and "lot_id" in spark.read.parquet(path).columns:
+                schema = schema.add("lot_id", "string")
+            return spark.read.schema(schema).parquet(path)
+
+        return read
+
+    return Tables({name: reader(name) for name in SCHEMAS})
 
 
 def read_jdbc(
