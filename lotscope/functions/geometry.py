@@ -415,7 +415,7 @@ def geojson(g: Column, digits: int = 9) -> Column:
             typed("MultiPolygon", listed(F.transform(parts, polygon_text))),
         )
         .when(g["kind"] == "GEOMETRYCOLLECTION", collection)
-        .when(g.isNotNull(), simple(parts[0]))
+        .when(g["kind"].isNotNull(), simple(parts[0]))
     )
 
 
