@@ -135,21 +135,16 @@ def build(areas: DataFrame, key: str, size: float, reach: float, broadcast_rows:
         )
         .select(key, "cx", F.explode("rows").alias("cy"))
     )
-    boundary = near.join(strips, [key, "cy"], "left").select(
-        key, "cx", "cy", F.lit(False).alias("inside"), "near", "strip"
-    )
     middle_x, middle_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    interior = (
-        box.join(near, [key, "cx", "cy"], "left_anti")
-        .join(strips, [key, "cy"])
-        .filter(geo.within(middle_x, middle_y, F.col("strip")))
-        .select(
-            key, "cx", "cy", F.lit(True).alias("inside"),
-            F.lit(None).cast(near.schema["near"].dataType).alias("near"),
-            F.lit(None).cast(strips.schema["strip"].dataType).alias("strip"),
-        )
+    # Away from the boundary a cell is inside or outside as a whole: its middle tells.
+    bounding = F.col("near").isNotNull()
+    cells = (
+        near.join(box, [key, "cx", "cy"], "full")
+        .join(strips, [key, "cy"], "left")
+        .withColumn("inside", ~bounding & F.coalesce(geo.within(middle_x, middle_y, F.col("strip")), F.lit(False)))
+        .filter(bounding | F.col("inside"))
+        .select(key, "cx", "cy", "inside", "near", F.when(bounding, F.col("strip")).alias("strip"))
     )
-    cells = boundary.unionByName(interior)
     if extent is None or max(totals[4], totals[5]) <= broadcast_rows:
         cells = F.broadcast(cells)
     return AreaIndex(cells, size, reach, extent)

@@ -77,18 +77,45 @@ def _cell_size(level: Column, reach: float) -> Column:
     return F.lit(reach) * F.pow(F.lit(_LEVEL_FACTOR), level)
 
 
-def _in_cells(df: DataFrame, prefix: str, levels: Column, margin: float, reach: float) -> DataFrame:
-    """One row per level in ``levels`` and cell under the box grown by ``margin``."""
-    box = F.col(f"{prefix}geom")
-    size = _cell_size(F.col("level"), reach)
+def _in_cells(df: DataFrame, meetings: Column, margin: float, reach: float) -> DataFrame:
+    """One row per meeting (``leads``, ``level``) and cell of that level under the box
+    grown by ``margin``."""
+    box, size = F.col("geom"), _cell_size(F.col("level"), reach)
 
     def span(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor((low - margin) / size), F.floor((high + margin) / size)))
 
     return (
-        df.withColumn("level", F.explode(levels))
+        df.select("*", F.inline(meetings))
         .withColumn("cx", span(box["xmin"], box["xmax"]))
         .withColumn("cy", span(box["ymin"], box["ymax"]))
+        .drop("own", "levels")
+    )
+
+
+def _meetings(first: bool) -> Column:
+    """Where a geometry of the first or of the second side goes: to cells of its own
+    level, where it leads, and to the coarser levels present, where one of the other
+    side leads.  Of two geometries of one level the first side's leads."""
+    own, bits = F.col("own"), F.col("levels")
+    lowest = own + 1 if first else own
+    highest = F.length(F.bin(bits)) - 1
+    led = F.when(
+        lowest <= highest,
+        F.filter(F.sequence(lowest, highest), lambda level: F.getbit(bits, level) == 1),
+    ).otherwise(F.array().cast("array<int>"))
+    leading = F.array(own) if first else F.when(own > 0, F.array(own)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def tagged(levels: Column, leader: str) -> Column:
+        return F.transform(
+            levels, lambda level: F.struct(F.lit(leader).alias("leads"), level.alias("level"))
+        )
+
+    return F.concat(
+        tagged(leading, "first" if first else "second"),
+        tagged(led, "second" if first else "first"),
     )
 
 
@@ -99,10 +126,13 @@ def copies(ws: Workspace) -> DataFrame:
     ``levels`` are the grid levels present for the taxon and start, as bits.
 
     Both aggregates combine before their shuffle, and the one by taxon and start reads
-    no vertices.
+    no vertices.  The year is a join key only so that the join shuffles both sides:
+    joined on its grouping keys alone, the aggregate would be taken where it lies, and
+    adaptive execution splits a hot key only between two shuffled sides.
     """
     reach = ws.params.duplicate_distance_m
     key = ["cd_nom", "date_min"]
+    year = F.year("date_min").alias("year")
     placed = (
         ws.observation.select("id_synthese", *key, "id_source", "id_import", "geom")
         .filter(F.col("geom.kind").isNotNull())
@@ -118,12 +148,14 @@ def copies(ws: Workspace) -> DataFrame:
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("levels"),
         )
         .filter("s0 <> s1 OR i0 <> i1")
-        .select(*key, "levels")
+        .select(*key, year, "levels")
     )
     return (
         placed.groupBy(*key, "id_source", "id_import", "geom")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
-        .join(several, key)
+        .select("*", year)
+        .join(several, [*key, "year"])
+        .drop("year")
         .withColumn("own", level)
     )
 
@@ -133,52 +165,22 @@ def close_pairs(ws: Workspace) -> DataFrame:
     distance apart, the first of them in a report: one row per pair of *groups*, never
     per pair of records."""
     reach = ws.params.duplicate_distance_m
-    found = copies(ws)
-    columns = ["id_source", "id_import", "geom", "n", "gid", "own", "levels"]
+    meeting = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
+    every = copies(ws).withColumn("lot_id", lot_id(F.col("id_source"), F.col("id_import")))
 
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
-            "cd_nom", "date_min", *[F.col(c).alias(prefix + c) for c in columns]
+    def side(df: DataFrame, prefix: str, first: bool) -> DataFrame:
+        cells = _in_cells(df, _meetings(first), reach if first else 0.0, reach)
+        return cells.select(
+            *[F.col(c) if c in meeting else F.col(c).alias(prefix + c) for c in cells.columns]
         )
 
-    def present(prefix: str, first: Column) -> Column:
-        """Levels from ``first`` on that occur for the taxon and start."""
-        bits = F.col(f"{prefix}levels")
-        highest = F.length(F.bin(bits)) - 1
-        return F.when(
-            first <= highest,
-            F.filter(F.sequence(first, highest), lambda level: F.getbit(bits, level) == 1),
-        )
-
-    reported = ws.reported(
-        found.withColumn("lot_id", lot_id(F.col("id_source"), F.col("id_import")))
-    )
-    a = side(reported, "a_").withColumn(
-        "a_lot", lot_id(F.col("a_id_source"), F.col("a_id_import"))
-    )
-    b = side(found, "b_")
-
-    def led_by(leader: str, df: DataFrame, prefix: str, levels: Column) -> DataFrame:
-        margin = reach if prefix == "a_" else 0.0
-        return _in_cells(df, prefix, levels, margin, reach).withColumn("leads", F.lit(leader))
-
-    # The pair's level is the first side's own, or the second's where that is coarser.
-    a_own, b_own = F.col("a_own"), F.col("b_own")
-    a_cells = led_by("a", a, "a_", F.array(a_own)).unionByName(
-        led_by("b", a, "a_", present("a_", a_own + 1))
-    )
-    b_cells = led_by("a", b, "b_", present("b_", b_own)).unionByName(
-        led_by("b", b.filter(b_own > 0), "b_", F.array(b_own))
-    )
+    a, b = side(ws.reported(every), "a_", True), side(every, "b_", False)
     ga, gb = F.col("a_geom"), F.col("b_geom")
     size = _cell_size(F.col("level"), reach)
     corner_x = F.floor(F.greatest(ga["xmin"] - reach, gb["xmin"]) / size)
     corner_y = F.floor(F.greatest(ga["ymin"] - reach, gb["ymin"]) / size)
-    same_lot = (F.col("a_id_source") == F.col("b_id_source")) & F.col("a_id_import").eqNullSafe(
-        F.col("b_id_import")
-    )
-    return a_cells.join(b_cells, ["cd_nom", "date_min", "leads", "level", "cx", "cy"]).filter(
-        ~same_lot
+    return a.join(b, meeting).filter(
+        (F.col("a_lot_id") != F.col("b_lot_id"))
         & (F.col("cx") == corner_x)
         & (F.col("cy") == corner_y)
         & geo.dwithin(ga, gb, reach)
@@ -192,8 +194,8 @@ def across_lots(ws: Workspace) -> DataFrame:
     The other side is the whole base, so another lot of the same report counts too.
     """
     by_copy = (
-        ws.bridge.withColumnRenamed("lot_id", "a_lot")
-        .join(close_pairs(ws), "a_lot")
+        ws.bridge.withColumnRenamed("lot_id", "a_lot_id")
+        .join(close_pairs(ws), "a_lot_id")
         .groupBy("report_id", "b_gid", "b_id_source", "b_id_import", "b_n")
         .agg(F.sum("a_n").alias("partners"))
     )

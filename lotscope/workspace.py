@@ -56,7 +56,9 @@ class Workspace:
 
     @cached_property
     def reported_lots(self) -> DataFrame:
-        return self.small(self.report_lots.select("lot_id").distinct())
+        """For semi-joins, which need no distinct lots.  Left as it is, a lot too many to
+        broadcast is shuffled next to the facts, where hot lots are split at run time."""
+        return self.small(self.report_lots.select("lot_id"))
 
     def small(self, df: DataFrame) -> DataFrame:
         return broadcast_if_small(df, self.params.broadcast_rows)

@@ -54,7 +54,7 @@ def test_report_names(spark):
 
 def test_numbers(spark):
     df = one_column(spark, [1234567.5, 2.5, None, float("nan"), -1234.0], "double")
-    s = " "
+    s = "\u00a0"
     assert column(df, text.grouped_number(F.col("v"))) == [
         f"1{s}234{s}568", "2", "0", "nan", f"-1{s}234",
     ]
