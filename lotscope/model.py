@@ -93,6 +93,10 @@ class Tables:
             raise AttributeError(name)
         return self[name.rstrip("_")]
 
+    def replacing(self, **frames: DataFrame) -> Tables:
+        """The same tables but for some."""
+        return Tables(self._makers | {name: (lambda df=df: df) for name, df in frames.items()})
+
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, self[name]) for name in SCHEMAS]
 

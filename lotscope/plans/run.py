@@ -39,19 +39,23 @@ def output_names(ws: Workspace) -> DataFrame:
     ).distinct()
 
 
+def _by_report(ws: Workspace, df: DataFrame) -> DataFrame:
+    """With the output name, brought together by it: few files per report, while a report
+    holding most of the rows is still split over several tasks."""
+    return df.join(ws.small(output_names(ws)), "report_id").hint("rebalance", F.col("fichier"))
+
+
 def write_section(ws: Workspace, section: Section, df: DataFrame, path: str) -> None:
-    """Parquet, one folder per report.  Rows are not gathered by report first: a report
-    holding most of the rows is written by as many tasks as hold them."""
+    """Parquet, one folder per report."""
     if section.per_report:
-        named = df.join(ws.small(output_names(ws)), "report_id")
-        named.write.mode("overwrite").partitionBy("fichier").parquet(path)
+        _by_report(ws, df).write.mode("overwrite").partitionBy("fichier").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
 def export_duplicates(ws: Workspace, groups: DataFrame, path: str) -> None:
     """Duplicate groups as CSV with a header, one folder per report."""
-    named = groups.join(ws.small(output_names(ws)), "report_id").drop("report_id")
+    named = _by_report(ws, groups).drop("report_id")
     named.write.mode("overwrite").option("header", True).partitionBy("fichier").csv(path)
 
 

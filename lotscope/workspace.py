@@ -29,6 +29,10 @@ class Workspace:
         self.marts = marts or {}
         self.rollup = rollup
 
+    def with_reports(self, report: DataFrame) -> Workspace:
+        """The same base with another list of reports."""
+        return Workspace(self.tables.replacing(report=report), self.params, self.marts, self.rollup)
+
     @cached_property
     def observation(self) -> DataFrame:
         """The fact table with its ``lot_id``; a stored column is used as it is, so

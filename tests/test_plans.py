@@ -115,6 +115,25 @@ def test_a_failing_section_is_left_empty_and_recorded(spark, ws, tmp_path, monke
     assert spark.read.parquet(f"{out}/kpi_totals").count() == 4
 
 
+def test_the_job_end_to_end(spark, ws, tmp_path, monkeypatch):
+    from lotscope.plans import job
+
+    tables, out, marts = (str(tmp_path / n) for n in ("tables", "out", "marts"))
+    write_prepared(ws.tables, tables)
+    few = {n: SECTIONS[n] for n in ("kpi_totals", "by_year")}
+    monkeypatch.setattr(job, "run_reports", lambda w, o: run.run_reports(w, o, only=list(few)))
+    assert job.main(["--tables", tables, "--out", out, "--marts", marts, "--refresh-marts"]) == 0
+    assert spark.read.parquet(f"{out}/kpi_totals").count() == 4
+    one = str(tmp_path / "one")
+    assert job.main(["--tables", tables, "--out", one, "--only-file", " melange "]) == 0
+    assert [r["report_id"] for r in spark.read.parquet(f"{one}/kpi_totals").collect()] == ["mixed"]
+    listed = str(tmp_path / "listed")
+    assert job.main(["--tables", tables, "--out", listed, "--list-reports"]) == 0
+    written = spark.read.parquet(f"{listed}/kpi_totals")
+    assert written.count() == 6 and written.filter("nb_obs > 0").count() == 6
+    assert job.main(["--tables", str(tmp_path / "nothing"), "--out", out, "--marts", marts, "--refresh-marts"]) == 1
+
+
 def test_no_reports_is_a_success(spark, make, tmp_path):
     outcome = run.run_reports(make(), str(tmp_path / "out"))
     assert (outcome.reports, outcome.exit_code) == (0, 0)
