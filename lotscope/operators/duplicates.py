@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lotscope.functions import geometry as geo
 from lotscope.functions.projection import LAMBERT93
-from lotscope.functions.text import lot_id
 from lotscope.operators.marts import described_source
 from lotscope.workspace import Workspace
 
@@ -56,13 +55,13 @@ def within_report(ws: Workspace) -> DataFrame:
 
 # -- across lots -----------------------------------------------------------
 #
-# Geometries meet in grid cells.  Cells come in levels, each 64 times coarser than the
+# Geometries meet in grid cells.  Cells come in levels, each 4 times coarser than the
 # one before; a geometry's own level is the first whose cell is as large as it is, so
-# it covers at most a few cells there however large it may be.  A pair is looked for at
-# the coarser of its two levels and counted in one cell only: the one holding the lower
-# left corner of the overlap of the two boxes.
+# it covers at most a few cells there however large it may be, and those are not much
+# larger than itself.  A pair is looked for at the coarser of its two levels and counted
+# in one cell only: the one holding the lower left corner of the overlap of the boxes.
 
-_LEVEL_FACTOR = 64.0
+_LEVEL_FACTOR = 4.0
 
 
 def _level(g: Column, reach: float) -> Column:
@@ -119,40 +118,58 @@ def _meetings(first: bool) -> Column:
     )
 
 
-def copies(ws: Workspace) -> DataFrame:
-    """Observations with everything equal that matters here (taxon, start, geometry,
-    lot) as one row with their number ``n`` and a stable identifier ``gid``.  Those
-    whose taxon and start occur in a single lot cannot pair and are dropped;
-    ``levels`` are the grid levels present for the taxon and start, as bits.
+def places(ws: Workspace) -> DataFrame:
+    """One row per taxon, start and distinct geometry, however many records share it:
+    ``lots`` lists the lots there with their number of records ``n`` and the reports
+    covering the lot, ``gid`` is a stable identifier.  The list is as long as there are
+    lots, not records.
 
-    Both aggregates combine before their shuffle, and the one by taxon and start reads
-    no vertices.  The year is a join key only so that the join shuffles both sides:
-    joined on its grouping keys alone, the aggregate would be taken where it lies, and
-    adaptive execution splits a hot key only between two shuffled sides.
+    A taxon and start found in a single lot, or in no reported one, cannot pair and is
+    dropped; ``levels`` are the grid levels present for the taxon and start, as bits.
+
+    Aggregates combine before their shuffle, and the one by taxon and start reads no
+    vertices.  The year is a join key only so that the join shuffles both sides: joined
+    on its grouping keys alone, the aggregate would be taken where it lies, and adaptive
+    execution splits a hot key only between two shuffled sides.
     """
     reach = ws.params.duplicate_distance_m
     key = ["cd_nom", "date_min"]
     year = F.year("date_min").alias("year")
+    covered = ws.small(
+        ws.report_lots.groupBy("lot_id").agg(F.collect_set("report_id").alias("reports"))
+    )
     placed = (
-        ws.observation.select("id_synthese", *key, "id_source", "id_import", "geom")
+        ws.observation.select("id_synthese", "lot_id", *key, "id_source", "id_import", "geom")
         .filter(F.col("geom.kind").isNotNull())
         .filter(F.col("cd_nom").isNotNull() & F.col("date_min").isNotNull())
     )
     no_import = F.coalesce(F.col("id_import"), F.lit(-1))
     level = _level(F.col("geom"), reach)
     several = (
-        placed.groupBy(*key)
+        placed.join(covered.withColumn("reported", F.lit(True)), "lot_id", "left")
+        .groupBy(*key)
         .agg(
             F.min("id_source").alias("s0"), F.max("id_source").alias("s1"),
             F.min(no_import).alias("i0"), F.max(no_import).alias("i1"),
+            F.max("reported").alias("reported"),
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("levels"),
         )
-        .filter("s0 <> s1 OR i0 <> i1")
+        .filter("reported AND (s0 <> s1 OR i0 <> i1)")
         .select(*key, year, "levels")
     )
-    return (
-        placed.groupBy(*key, "id_source", "id_import", "geom")
+    by_lot = (
+        placed.groupBy(*key, "id_source", "id_import", "lot_id", "geom")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
+        .join(covered, "lot_id", "left")
+    )
+    return (
+        by_lot.groupBy(*key, "geom")
+        .agg(
+            F.collect_list(
+                F.struct("lot_id", "id_source", "id_import", "n", "reports")
+            ).alias("lots"),
+            F.min("gid").alias("gid"),
+        )
         .select("*", year)
         .join(several, [*key, "year"])
         .drop("year")
@@ -160,13 +177,14 @@ def copies(ws: Workspace) -> DataFrame:
     )
 
 
-def close_pairs(ws: Workspace) -> DataFrame:
-    """Pairs of copies of the same taxon and start, of different lots and at most the
-    distance apart, the first of them in a report: one row per pair of *groups*, never
-    per pair of records."""
+def close_places(ws: Workspace) -> DataFrame:
+    """Pairs of places of the same taxon and start at most the distance apart, a place
+    with itself included, the first with a reported lot: one row and one test of the
+    geometries per pair of *places*, never per pair of records or lots."""
     reach = ws.params.duplicate_distance_m
     meeting = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
-    every = copies(ws).withColumn("lot_id", lot_id(F.col("id_source"), F.col("id_import")))
+    every = places(ws)
+    reported = every.filter(F.exists("lots", lambda lot: lot["reports"].isNotNull()))
 
     def side(df: DataFrame, prefix: str, first: bool) -> DataFrame:
         cells = _in_cells(df, _meetings(first), reach if first else 0.0, reach)
@@ -174,16 +192,52 @@ def close_pairs(ws: Workspace) -> DataFrame:
             *[F.col(c) if c in meeting else F.col(c).alias(prefix + c) for c in cells.columns]
         )
 
-    a, b = side(ws.reported(every), "a_", True), side(every, "b_", False)
     ga, gb = F.col("a_geom"), F.col("b_geom")
     size = _cell_size(F.col("level"), reach)
     corner_x = F.floor(F.greatest(ga["xmin"] - reach, gb["xmin"]) / size)
     corner_y = F.floor(F.greatest(ga["ymin"] - reach, gb["ymin"]) / size)
-    return a.join(b, meeting).filter(
-        (F.col("a_lot_id") != F.col("b_lot_id"))
-        & (F.col("cx") == corner_x)
-        & (F.col("cy") == corner_y)
-        & geo.dwithin(ga, gb, reach)
+    return (
+        side(reported, "a_", True)
+        .join(side(every, "b_", False), meeting)
+        .filter(
+            (F.col("cx") == corner_x) & (F.col("cy") == corner_y) & geo.dwithin(ga, gb, reach)
+        )
+    )
+
+
+def partners(ws: Workspace) -> DataFrame:
+    """For every report and every lot at a place: its records there (``n``) and how many
+    records of *other* lots of the report lie within the distance (``partners``).
+
+    The records of a report near a place are added up once; what the lot itself holds
+    of them is taken off, so lots are not paired with lots.
+    """
+    everywhere = F.flatten(
+        F.transform(F.col("a_lots"), lambda lot: F.coalesce(lot["reports"], F.array().cast("array<string>")))
+    )
+    near = close_places(ws).select("a_lots", "b_gid", "b_lots", F.explode(F.array_distinct(everywhere)).alias("report_id"))
+    held = F.map_from_entries(
+        F.transform(
+            F.filter("a_lots", lambda lot: F.array_contains(lot["reports"], F.col("report_id"))),
+            lambda lot: F.struct(lot["lot_id"], lot["n"]),
+        )
+    )
+    total = F.aggregate(F.map_values("held"), F.lit(0).cast("bigint"), lambda t, n: t + n)
+
+    def others(lot: Column) -> Column:
+        own = F.coalesce(F.try_element_at(F.col("held"), lot["lot_id"]), F.lit(0))
+        return F.struct(
+            lot["id_source"].alias("id_source"), lot["id_import"].alias("id_import"),
+            lot["n"].alias("n"), (F.col("total") - own).alias("partners"),
+        )
+
+    return (
+        near.withColumn("held", held)
+        .withColumn("total", total)
+        .select("report_id", "b_gid", F.inline(F.transform("b_lots", others)))
+        .filter("partners > 0")
+        .groupBy("report_id", "b_gid", "id_source", "id_import", "n")
+        .agg(F.sum("partners").alias("partners"))
     )
 
 
@@ -193,16 +247,8 @@ def across_lots(ws: Workspace) -> DataFrame:
 
     The other side is the whole base, so another lot of the same report counts too.
     """
-    by_copy = (
-        ws.bridge.withColumnRenamed("lot_id", "a_lot_id")
-        .join(close_pairs(ws), "a_lot_id")
-        .groupBy("report_id", "b_gid", "b_id_source", "b_id_import", "b_n")
-        .agg(F.sum("a_n").alias("partners"))
-    )
-    by_lot = by_copy.groupBy(
-        "report_id", F.col("b_id_source").alias("id_source"), F.col("b_id_import").alias("id_import")
-    ).agg(
-        F.sum("b_n").alias("records"), F.sum(F.col("b_n") * F.col("partners")).alias("pairs")
+    by_lot = partners(ws).groupBy("report_id", "id_source", "id_import").agg(
+        F.sum("n").alias("records"), F.sum(F.col("n") * F.col("partners")).alias("pairs")
     )
     imports = ws.tables.import_.select("id_import", F.col("additional_data").alias("import_data"))
     return (
