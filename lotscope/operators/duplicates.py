@@ -179,8 +179,8 @@ def places(ws: Workspace) -> DataFrame:
 
 def close_places(ws: Workspace) -> DataFrame:
     """Pairs of places of the same taxon and start at most the distance apart, a place
-    with itself included, the first with a reported lot: one row and one test of the
-    geometries per pair of *places*, never per pair of records or lots."""
+    of several lots with itself included, the first with a reported lot: one row and one
+    test of the geometries per pair of *places*, never per pair of records or lots."""
     reach = ws.params.duplicate_distance_m
     meeting = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
     every = places(ws)
@@ -196,12 +196,13 @@ def close_places(ws: Workspace) -> DataFrame:
     size = _cell_size(F.col("level"), reach)
     corner_x = F.floor(F.greatest(ga["xmin"] - reach, gb["xmin"]) / size)
     corner_y = F.floor(F.greatest(ga["ymin"] - reach, gb["ymin"]) / size)
+    itself = F.col("a_gid") == F.col("b_gid")
+    # A place meets itself without a test, and to some effect only with several lots.
+    close = F.when(itself, F.size("a_lots") > 1).otherwise(geo.dwithin(ga, gb, reach))
     return (
         side(reported, "a_", True)
         .join(side(every, "b_", False), meeting)
-        .filter(
-            (F.col("cx") == corner_x) & (F.col("cy") == corner_y) & geo.dwithin(ga, gb, reach)
-        )
+        .filter((F.col("cx") == corner_x) & (F.col("cy") == corner_y) & close)
     )
 
 
