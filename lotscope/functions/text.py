@@ -57,6 +57,11 @@ def report_address(file_name: Column, base: str) -> Column:
     return concat_skipping_null(F.lit(base), slug, F.lit(".html"))
 
 
+def day_text(timestamp: Column) -> Column:
+    """The day as ``yyyy-MM-dd``."""
+    return timestamp.cast("date").cast("string")
+
+
 def json_text(document: Column, key: str) -> Column:
     return F.get_json_object(document, f"$.{key}")
 
@@ -75,9 +80,9 @@ def grouped_number(value: Column, decimals: int = 0) -> Column:
 
 def percent(share: Column, decimals: int = 1) -> Column:
     """``0.123`` to ``'12.3 %'`` with a no-break space; NULL gives ``'-'``."""
-    shown = F.replace(
-        F.format_number(share.cast("double") * 100, decimals), F.lit(","), F.lit("")
-    )
+    value = share.cast("double")
+    digits = F.replace(F.format_number(value * 100, decimals), F.lit(","), F.lit(""))
+    shown = F.when(F.isnan(value), "nan").otherwise(digits)
     return F.coalesce(F.concat(shown, F.lit(NBSP + "%")), F.lit("-"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotscope.functions import geometry as geo
 from lotscope.functions.projection import LAMBERT93
+from lotscope.functions.text import day_text
 from lotscope.operators.marts import described_source
 from lotscope.workspace import Workspace
 
@@ -46,7 +47,7 @@ def within_report(ws: Workspace) -> DataFrame:
             LAMBERT93.lon(x, y).alias("lon"),
             "observers", "id_nomenclature_sex", "id_nomenclature_obs_technique",
             "count_max", "count_min", "id_nomenclature_life_stage",
-            F.date_format("date_min", "yyyy-MM-dd").alias("date"),
+            day_text(F.col("date_min")).alias("date"),
             "nb_data_similaire",
         )
         .orderBy("report_id", F.desc("nb_data_similaire"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotscope.functions.text import day_text
 from lotscope.model import ADVISED_STATUS_CODES, STATUS_TYPE
 from lotscope.workspace import Workspace
 
@@ -71,7 +72,7 @@ def to_review(ws: Workspace) -> DataFrame:
         .select(
             F.col("uuid_attached_row").alias("uuid"),
             F.col("validation_comment").alias("commentaire"),
-            F.date_format("validation_date", "yyyy-MM-dd").alias("date_commentaire"),
+            day_text(F.col("validation_date")).alias("date_commentaire"),
         )
     )
     records = ws.reported(

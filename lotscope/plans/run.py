@@ -39,23 +39,23 @@ def output_names(ws: Workspace) -> DataFrame:
     ).distinct()
 
 
-def _by_report(ws: Workspace, df: DataFrame) -> DataFrame:
+def _by_report(df: DataFrame, names: DataFrame) -> DataFrame:
     """With the output name, brought together by it: few files per report, while a report
     holding most of the rows is still split over several tasks."""
-    return df.join(ws.small(output_names(ws)), "report_id").hint("rebalance", F.col("fichier"))
+    return df.join(names, "report_id").hint("rebalance", F.col("fichier"))
 
 
-def write_section(ws: Workspace, section: Section, df: DataFrame, path: str) -> None:
+def write_section(section: Section, df: DataFrame, names: DataFrame, path: str) -> None:
     """Parquet, one folder per report."""
     if section.per_report:
-        _by_report(ws, df).write.mode("overwrite").partitionBy("fichier").parquet(path)
+        _by_report(df, names).write.mode("overwrite").partitionBy("fichier").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
-def export_duplicates(ws: Workspace, groups: DataFrame, path: str) -> None:
+def export_duplicates(groups: DataFrame, names: DataFrame, path: str) -> None:
     """Duplicate groups as CSV with a header, one folder per report."""
-    named = _by_report(ws, groups).drop("report_id")
+    named = _by_report(groups, names).drop("report_id")
     named.write.mode("overwrite").option("header", True).partitionBy("fichier").csv(path)
 
 
@@ -69,22 +69,22 @@ def run_reports(ws: Workspace, out: str, only: list[str] | None = None) -> Outco
     if ws.tables.report.isEmpty():
         log.warning("no report to produce")
         return Outcome(0, ())
-    status = []
+    names, status = ws.small(output_names(ws)), []
     for name in only or SECTIONS:
         section, path = SECTIONS[name], f"{out}/{name}"
         try:
-            write_section(ws, section, section.build(ws), path)
+            write_section(section, section.build(ws), names, path)
             status.append((name, True, None))
         except Exception as error:
             log.exception("section %s failed and is left empty", name)
-            write_section(ws, section, section.empty(spark), path)
+            write_section(section, section.empty(spark), names, path)
             status.append((name, False, str(error)[:2000]))
     written = {
         name: spark.read.schema(SECTIONS[name].schema).parquet(f"{out}/{name}")
         for name in only or SECTIONS
     }
     if "dup_within" in written:
-        export_duplicates(ws, written["dup_within"], f"{out}/duplicates_csv")
+        export_duplicates(written["dup_within"], names, f"{out}/duplicates_csv")
     if only is None:
         report_summary(ws, written).write.mode("overwrite").parquet(f"{out}/report_summary")
     spark.createDataFrame(status, STATUS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(

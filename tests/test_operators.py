@@ -59,8 +59,8 @@ def test_numbers(spark):
         f"1{s}234{s}568", "2", "0", "nan", f"-1{s}234",
     ]
     assert column(df, text.grouped_number(F.col("v"), 1))[0] == f"1{s}234{s}567.5"
-    shares = one_column(spark, [0.12345, 12.0, None], "double")
-    assert column(shares, text.percent(F.col("v"))) == [f"12.3{s}%", f"1200.0{s}%", "-"]
+    shares = one_column(spark, [0.12345, 12.0, None, float("nan")], "double")
+    assert column(shares, text.percent(F.col("v"))) == [f"12.3{s}%", f"1200.0{s}%", "-", f"nan{s}%"]
 
 
 def test_json_flags(spark):
