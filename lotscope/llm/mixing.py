@@ -157,7 +157,7 @@ WITH sized AS (
         by_full_after AS (ORDER BY 2.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), aimed AS (
     SELECT source, source_size,
-        least(2.0::DOUBLE * source_size, weight * (SELECT min(level) FROM levels WHERE level <= full_at)) AS target
+        least(2.0::DOUBLE * source_size, weight * (SELECT first(level ORDER BY full_at, source) FROM levels WHERE level <= full_at)) AS target
     FROM levels
 ), summed AS (
     SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.source ORDER BY hash) AS upto,

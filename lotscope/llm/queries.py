@@ -87,7 +87,7 @@ spots AS (
 ), hits AS (
     SELECT DISTINCT doc_id, item_id, size, i FROM spots JOIN patterns USING (size, pattern)
 ), marked AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS at FROM hits) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM hits) GROUP BY doc_id
 ), items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
     FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
