@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: For ``bytes.translate``: A-Z to a-z and nothing else, so other letters stay as they are.
 LOWER_ASCII = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
-#: Upper and lower letters for the SQL function ``translate``.
-UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+#: Rows that a Python function is given at once.
+ROWS = 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,7 +41,8 @@ def rows_with(df: DataFrame, columns: dict[str, str], schema: str, rows: Callabl
     """Rows of ``schema`` from the batches of ``columns`` (name to SQL expression).
 
     ``rows`` gets one list for each column and returns one list for each field, all of
-    one length: as many rows as came, or any other number.  Batches flow one by one.
+    one length: as many rows as came, or any other number.  Batches flow one by one, at
+    most ``ROWS`` rows at a time.
     """
     wanted = df.select(*(F.expr(e).alias(c) for c, e in columns.items()))
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -51,10 +52,11 @@ def rows_with(df: DataFrame, columns: dict[str, str], schema: str, rows: Callabl
 
         out = to_arrow_schema(fields)
         for batch in batches:
-            made = rows(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, type=f.type) for values, f in zip(made, out, strict=True)], schema=out
-            )
+            for at in range(0, batch.num_rows, ROWS):
+                made = rows(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, type=f.type) for values, f in zip(made, out, strict=True)], schema=out
+                )
 
     return wanted.mapInArrow(run, fields)
 

@@ -9,7 +9,7 @@ too small.  The filter is built in segments, each from the n-grams whose hash fa
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -100,42 +100,33 @@ def counts_of(limit: int = 128) -> np.ndarray:
 COUNTS = counts_of()
 
 
-def places(keys: np.ndarray, step: int | np.ndarray, size: int) -> list[np.ndarray]:
-    """The bits of an n-gram at a step, in a segment of ``size`` bits."""
-    first = mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(step, np.uint64))
-    stride = mixed(first) | np.uint64(1)
-    return [((first + np.uint64(i) * stride) >> np.uint64(16)) % np.uint64(size) for i in range(PROBES)]
+def places(keys: np.ndarray, stride: np.ndarray, step: int, size: int | np.ndarray):
+    """The bits of n-grams at a step, one after another, in segments of ``size`` bits (less
+    than 2^32)."""
+    first = mixed(keys + np.uint64(0x9E3779B97F4A7C15 * step % (1 << 64)))
+    for i in range(PROBES):
+        yield ((first + np.uint64(i) * stride) >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)
+
+
+def strides(keys: np.ndarray) -> np.ndarray:
+    return mixed(~keys) | np.uint64(1)
 
 
 def built(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bytes of a segment that holds distinct n-grams with their counts."""
-    steps = steps_of(counts)
+    steps, stride = steps_of(counts), strides(keys)
     size = max(64, int(steps.sum()) * BITS_PER_KEY // 64 * 64)
     bits = np.zeros(size, bool)
     step = 1
     while len(keys):
-        for at in places(keys, step, size):
+        for at in places(keys, stride, step, size):
             bits[at] = True
         step += 1
         more = steps >= step
-        keys, steps = keys[more], steps[more]
+        keys, steps, stride = keys[more], steps[more], stride[more]
     return np.packbits(bits)
 
 
-def read_steps(segment: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.zeros(len(keys), np.int64)
-    live = np.arange(len(keys))
-    size, step = len(segment) * 8, 1
-    while len(live):
-        yes = np.ones(len(live), bool)
-        for at in places(keys[live], step, size):
-            yes &= (segment[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-        live = live[yes]
-        found[live] = step
-        step += 1
-    return found
-
-
 def _segment_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -171,34 +162,50 @@ def filter_segments(docs: DataFrame, bits: int) -> DataFrame:
     return pieces.groupBy("segment").applyInPandas(merge, "segment bigint, bytes binary")
 
 
-@dataclass
 class Held:
-    """Some segments of a filter."""
+    """Some segments of a filter, one after another."""
 
-    bits: int
-    segments: dict[int, bytes] = field(default_factory=dict)
+    def __init__(self, bits: int, segments: dict[int, bytes]):
+        self.bits = bits
+        self.start, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.uint64)
+        end = 0
+        for segment, content in segments.items():
+            self.start[segment], self.size[segment] = end, len(content) * 8
+            end += len(content)
+        self.content = np.frombuffer(b"".join(segments.values()), np.uint8)
 
     def fill(self, keys: np.ndarray, steps: np.ndarray) -> None:
-        """Writes the steps of the n-grams whose segments are held."""
-        segment = _segment_of(keys, self.bits)
-        order = np.argsort(segment, kind="stable")
-        edges = np.flatnonzero(np.diff(segment[order], prepend=-1))
-        rest = (keys << np.uint64(self.bits)) >> np.uint64(16)
-        for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
-            of = self.segments.get(int(segment[order[a]]))
-            if of is not None:
-                at = order[a:b]
-                steps[at] = read_steps(np.frombuffer(of, np.uint8), rest[at])
-
-
-def log10_probabilities(steps: list[np.ndarray], context: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Of each token, from the steps of the n-grams that end there and of its context.
+        """Writes the steps of the n-grams whose segments are held.  Each distinct one is
+        looked up once, and dropped at the first bit that isn't set."""
+        distinct, at = np.unique(keys, return_inverse=True)
+        segment = _segment_of(distinct, self.bits)
+        held = self.size[segment] > 0
+        found, live = np.zeros(len(distinct), np.int64), np.flatnonzero(held)
+        rest = ((distinct << np.uint64(self.bits)) >> np.uint64(16))[live]
+        start, size, stride, step = self.start[segment[live]], self.size[segment[live]], strides(rest), 1
+        while len(live):
+            kept = np.arange(len(live))
+            for i, place in enumerate(places(rest, stride, step, size)):
+                place = place if i == 0 else place[kept]
+                byte = self.content[start[kept] + (place >> np.uint64(3)).astype(np.int64)]
+                kept = kept[(byte >> (7 - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)]
+            live, rest, start, size, stride = live[kept], rest[kept], start[kept], size[kept], stride[kept]
+            found[live] = step
+            step += 1
+        steps[held[at]] = found[at][held[at]]
+
+
+def log10_probabilities(steps: list[np.ndarray], counts: list[int], total: int, distinct: int) -> np.ndarray:
+    """Of each token, from the steps of the n-grams that end there.  ``counts`` has the number
+    of tokens of each document; the context of its first one is its end.
 
     The longer n-gram can't be more frequent than its parts, which corrects many a wrong yes.
     """
     one = COUNTS[steps[0]]
     given = (one + 0.5) / (total + 0.5 * (distinct + 1))
-    before = COUNTS[context]
+    ends = np.cumsum(counts)
+    before = np.roll(one, 1)
+    before[ends - counts] = one[ends - 1]
     for of in steps[1:]:
         pair = np.minimum(COUNTS[of], np.minimum(one, before))
         seen = before > 0
@@ -267,18 +274,20 @@ def scores(docs: DataFrame, model: Trained, held_bytes: int = HELD_BYTES) -> Dat
             if wanted else {}
         )
 
-        def read(texts, steps, sent=sent):
+        def read(texts, steps, sent=sent, ready=[]):  # noqa: B006
             """Of some documents: how many tokens each has, and the steps of their n-grams."""
-            held, begun = Held(model_bits, sent.value), 0
+            if not ready:
+                ready.append(Held(model_bits, sent.value))
+            begun = 0
             for tokens, before, counts in chunks(texts):
                 keys = ngrams(tokens, before)
-                # Earlier rounds' steps lie in a row: for each n, then for the context.
-                known = [np.zeros(len(tokens), np.int64) for _ in range(ORDER + 1)]
+                # Earlier rounds' steps lie in a row for each n.
+                known = [np.zeros(len(tokens), np.int64) for _ in range(ORDER)]
                 if steps[begun] is not None:
-                    rows = [np.frombuffer(s, np.uint8).reshape(ORDER + 1, -1) for s in steps[begun : begun + len(counts)]]
+                    rows = [np.frombuffer(s, np.uint8).reshape(ORDER, -1) for s in steps[begun : begun + len(counts)]]
                     known = list(np.concatenate(rows, axis=1).astype(np.int64))
-                for k, s in zip([*keys, mixed(before[0])], known, strict=True):
-                    held.fill(k, s)
+                for k, s in zip(keys, known, strict=True):
+                    ready[0].fill(k, s)
                 begun += len(counts)
                 yield counts, known
 
@@ -301,7 +310,7 @@ def scores(docs: DataFrame, model: Trained, held_bytes: int = HELD_BYTES) -> Dat
         def ended(uids, ids, texts, steps, read=read):
             score, sizes = [], []
             for counts, known in read(texts, steps):
-                each = log10_probabilities(known[:-1], known[-1], total, distinct)
+                each = log10_probabilities(known, counts, total, distinct)
                 score += np.add.reduceat(each, np.cumsum([0, *counts[:-1]])).tolist()
                 sizes += counts
             found, sums, rest = [], [], []
