@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotscope.llm.common import word_count
+from lotscope.llm.common import checkpointed, word_count
 
 MIN_WORDS = 50
 DOC = ("doc_id", "content")
@@ -78,10 +78,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     every = windows(lines(docs), min_words)
     position = F.xxhash64(*DOC, "place")
     shared = every.groupBy("anchor").agg(F.min(position).alias("a"), F.max(position).alias("b")).filter("a <> b")
-    live = every.join(shared.select("anchor"), "anchor", "left_semi")
+    # Written first, so that the joins are plain ones, whose hot keys Spark splits.
+    live = checkpointed(every.join(checkpointed(shared.select("anchor")), "anchor", "left_semi"))
     runs = live.groupBy("run", "run2").agg(
         F.min(F.struct(*DOC, "first", "last")).alias("origin"), F.count("*").alias("n")
     ).filter("n > 1").drop("n")
+    runs = checkpointed(runs)
     same = F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) & (F.col("content") == F.col("origin.content"))
     begin = F.when(same, F.greatest("first", F.col("origin.last") + 1)).otherwise(F.col("first"))
     return live.join(runs, ["run", "run2"]).select(*DOC, begin.alias("first"), "last").filter("first <= last")
