@@ -90,7 +90,7 @@ def thresholds(rows: DataFrame, wanted: DataFrame, copies: int = MOST) -> DataFr
     )
     for used in range(0, BITS, STEP):
         inside = rows.alias("r").join(
-            broadcast_if_small(open_, BROADCAST_SOURCES).alias("o"),
+            broadcast_if_small(open_.select("source", "copy", "rest", "prefix"), BROADCAST_SOURCES).alias("o"),
             F.col("r.source").eqNullSafe(F.col("o.source")) & (F.shiftright("r.hash", BITS - used) == F.col("o.prefix")),
         )
         shift = BITS - used - STEP
