@@ -163,16 +163,16 @@ def filter_segments(docs: DataFrame, bits: int) -> DataFrame:
 
 
 class Held:
-    """Some segments of a filter, one after another."""
+    """Some segments of a filter, one after another in ``content``, with their lengths."""
 
-    def __init__(self, bits: int, segments: dict[int, bytes]):
+    def __init__(self, bits: int, lengths: dict[int, int], content: bytes):
         self.bits = bits
         self.start, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.uint64)
         end = 0
-        for segment, content in segments.items():
-            self.start[segment], self.size[segment] = end, len(content) * 8
-            end += len(content)
-        self.content = np.frombuffer(b"".join(segments.values()), np.uint8)
+        for segment, length in lengths.items():
+            self.start[segment], self.size[segment] = end, length * 8
+            end += length
+        self.content = np.frombuffer(content, np.uint8)
 
     def fill(self, keys: np.ndarray, steps: np.ndarray) -> None:
         """Writes the steps of the n-grams whose segments are held.  Each distinct one is
@@ -269,15 +269,14 @@ def scores(docs: DataFrame, model: Trained, held_bytes: int = HELD_BYTES) -> Dat
     rounds = _rounds(model, held_bytes)
     for i, wanted in enumerate(rounds):
         last = i + 1 == len(rounds)
-        sent = spark.sparkContext.broadcast(
-            {s: bytes(b) for s, b in model.segments.filter(F.col("segment").between(wanted[0], wanted[-1])).collect()}
-            if wanted else {}
-        )
+        parts = model.segments.filter(F.col("segment").isin(wanted)).collect() if wanted else []
+        sent = spark.sparkContext.broadcast(({s: len(b) for s, b in parts}, b"".join(b for _, b in parts)))
+        del parts
 
         def read(texts, steps, sent=sent, ready=[]):  # noqa: B006
             """Of some documents: how many tokens each has, and the steps of their n-grams."""
             if not ready:
-                ready.append(Held(model_bits, sent.value))
+                ready.append(Held(model_bits, *sent.value))
             begun = 0
             for tokens, before, counts in chunks(texts):
                 keys = ngrams(tokens, before)
