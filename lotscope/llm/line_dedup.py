@@ -20,15 +20,11 @@ MIN_WORDS = 50
 DOC = ("doc_id", "content")
 
 
-def _with_content(docs: DataFrame) -> DataFrame:
-    """Adds ``content``, a hash that tells apart rows of one doc_id with different texts."""
-    return docs.withColumn("content", F.xxhash64("text"))
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``content``, ``line`` (from 0), ``hash``, ``words`` and the running ``upto``
     of every line with words.  Repeated rows count once."""
-    made = _with_content(docs.select("doc_id", "text")).select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    # Rows of one doc_id with different texts are told apart by a hash.
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("content")).select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "text"))
     counted = made.select(*DOC, "line", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("words")).filter("words > 0")
     distinct = counted.repartition(*DOC).groupBy(*DOC, "line").agg(F.first("hash").alias("hash"), F.first("words").alias("words"))
     before = Window.partitionBy(*DOC).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -108,24 +104,25 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same, character for character, as lines earlier in the table.  Lines without words are
     passed over, and go where they stand inside a deleted run.  A null text stays null; a text
     that loses all lines becomes empty.  Repeated rows with one doc_id and text are one
-    document and stay alike; other columns stay as they are.
+    document and stay alike; other columns stay as they are, but for those of the names above,
+    which are replaced.
     """
     ranges = removals(repeated(docs, min_words)).select(
-        F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "removed"
+        F.col("doc_id").alias("_run_doc"), F.col("content").alias("_run_content"), F.col("removed").alias("_run_removed")
     )
-    named = _with_content(docs)
-    joined = named.join(ranges, named["doc_id"].eqNullSafe(ranges["_id"]) & (named["content"] == ranges["_content"]), "left")
-    split = joined.withColumn("_lines", F.split("text", "\n"))
-    whole = F.size("_lines")
-    starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["last"] + 1))
-    ends = F.concat(F.transform("removed", lambda r: r["first"]), F.array(whole))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a)))
-    gone = F.aggregate("removed", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    same = docs["doc_id"].eqNullSafe(ranges["_run_doc"]) & (F.xxhash64(docs["text"]) == ranges["_run_content"])
+    split = docs.join(ranges, same, "left").withColumn("_run_lines", F.split("text", "\n"))
+    removed, whole = F.col("_run_removed"), F.size("_run_lines")
+    starts = F.concat(F.array(F.lit(0)), F.transform(removed, lambda r: r["last"] + 1))
+    ends = F.concat(F.transform(removed, lambda r: r["first"]), F.array(whole))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_run_lines"), a + 1, b - a)))
+    gone = F.aggregate(removed, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return split.withColumns({
-        "text": F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        "text": F.when(removed.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.greatest(whole, F.lit(0)).cast("long"),
         "n_removed": F.coalesce(gone, F.lit(0)).cast("long"),
-    }).drop("_id", "_content", "_lines", "content")
+        "removed": removed,
+    }).drop("_run_doc", "_run_content", "_run_removed", "_run_lines")
 
 
 def op4_line_winnowing(docs: DataFrame) -> DataFrame:
