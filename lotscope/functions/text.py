@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸ"
-UNACCENTED = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYY"
+
+def _accented() -> dict[str, str]:
+    """Latin letters with marks (Latin-1, Extended-A, Extended Additional) and the ASCII
+    letter that each is composed of."""
+    found = {}
+    for code in (*range(0xC0, 0x180), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))[0]
+        if base.isascii():
+            found[chr(code)] = base
+    return found
+
+
+# Letters with a stroke or without a dot, which aren't composed.
+STROKED = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i"}
+FOLDED = _accented() | STROKED
 LIGATURES = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss"}
 
 NBSP = "\u00a0"
@@ -31,7 +45,7 @@ def parse_lots(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    folded = F.translate(text, ACCENTED, UNACCENTED)
+    folded = F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))
     for ligature, letters in LIGATURES.items():
         folded = F.replace(folded, F.lit(ligature), F.lit(letters))
     return folded

@@ -95,10 +95,17 @@ class AreaIndex:
         )
 
 
+def _pieces(cells: DataFrame) -> int:
+    """Cells and the segments that they hold, each as often as it is held."""
+    held = [F.coalesce(F.size(c), F.lit(0)) for c in ("near", "strip")]
+    return cells.agg(F.sum(1 + F.greatest(held[0], F.lit(0)) + F.greatest(held[1], F.lit(0)))).first()[0] or 0
+
+
 def build(areas: DataFrame, key: str, size: float, reach: float, broadcast_rows: int) -> AreaIndex:
     """Index ``areas`` (``key``, ``geom``).
 
-    One row of totals is fetched: it bounds the number of cells and segments, which
+    One row of totals is fetched: it bounds the number of cells and segments.  Where these
+    are few, what would be sent is counted, segments repeated by cell included, and that
     decides whether the index may be broadcast.
     """
     areas = areas.select(key, "geom").filter(F.col("geom").isNotNull())
@@ -145,6 +152,6 @@ def build(areas: DataFrame, key: str, size: float, reach: float, broadcast_rows:
         .filter(bounding | F.col("inside"))
         .select(key, "cx", "cy", "inside", "near", F.when(bounding, F.col("strip")).alias("strip"))
     )
-    if extent is None or max(totals[4], totals[5]) <= broadcast_rows:
+    if extent is None or max(totals[4], totals[5]) <= broadcast_rows and _pieces(cells) <= broadcast_rows:
         cells = F.broadcast(cells)
     return AreaIndex(cells, size, reach, extent)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotscope.functions import geometry as geo
 from lotscope.functions.projection import LAMBERT93
+from lotscope.functions.sizing import at_most
 from lotscope.functions.text import day_text
 from lotscope.operators.marts import described_source
 from lotscope.workspace import Workspace
@@ -24,18 +25,25 @@ def within_report(ws: Workspace) -> DataFrame:
     """Groups of records of one report that agree on everything in ``SHARED``, on the
     kind of geometry and on the place (the centroid of the snapped geometry).
 
-    Copies are combined before the shuffle, so a large group of them travels as one
-    row per task.  Grouping is on local coordinates; only the groups that survive are
-    projected and named.
+    Records are counted per lot, before the reports that cover the lot multiply them.
+    Copies are combined before the shuffle, so a large group of them travels as one row
+    per task.  Grouping is on local coordinates; only the groups that survive are projected
+    and named.
     """
     x, y = F.col("x"), F.col("y")
-    rows = ws.per_report(
-        ws.observation.select("lot_id", *SHARED, F.col("geom.kind").alias("geom_type"), "geom")
+    same = [*SHARED, "geom_type", "x", "y"]
+    rows = ws.reported(ws.observation).select(
+        "lot_id", *SHARED, F.col("geom.kind").alias("geom_type"), "geom"
     )
-    groups = (
+    by_lot = (
         geo.evaluated(rows, geo.snapped_centroid(F.col("geom"), ws.params.snap_m), "x", "y")
-        .groupBy("report_id", *SHARED, "geom_type", "x", "y")
-        .agg(F.count(F.lit(1)).alias("nb_data_similaire"))
+        .groupBy("lot_id", *same)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    groups = (
+        ws.per_report(by_lot)
+        .groupBy("report_id", *same)
+        .agg(F.sum("n").alias("nb_data_similaire"))
         .filter("nb_data_similaire > 1")
     )
     taxa = ws.tables.taxref.select("cd_nom", "lb_nom", "nom_vern")
@@ -65,6 +73,11 @@ def within_report(ws: Workspace) -> DataFrame:
 _LEVEL_FACTOR = 4.0
 
 
+def _finest(ws: Workspace) -> float:
+    """Side of the finest cells: the distance, or a metre where only one place is meant."""
+    return ws.params.duplicate_distance_m or 1.0
+
+
 def _level(g: Column, reach: float) -> Column:
     extent = F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"])
     return (
@@ -128,52 +141,50 @@ def places(ws: Workspace) -> DataFrame:
     A taxon and start found in a single lot, or in no reported one, cannot pair and is
     dropped; ``levels`` are the grid levels present for the taxon and start, as bits.
 
-    Aggregates combine before their shuffle, and the one by taxon and start reads no
-    vertices.  The year is a join key only so that the join shuffles both sides: joined
-    on its grouping keys alone, the aggregate would be taken where it lies, and adaptive
-    execution splits a hot key only between two shuffled sides.
+    That is decided first, from narrow columns, so only records that may pair carry their
+    vertices into a shuffle.  The year is a join key only so that the join shuffles both
+    sides: joined on its grouping keys alone, the aggregate would be taken where it lies,
+    and adaptive execution splits a hot key only between two shuffled sides.
     """
-    reach = ws.params.duplicate_distance_m
+    cell = _finest(ws)
     key = ["cd_nom", "date_min"]
     year = F.year("date_min").alias("year")
-    covered = ws.small(
-        ws.report_lots.groupBy("lot_id").agg(F.collect_set("report_id").alias("reports"))
-    )
+    covered = ws.report_lots.groupBy("lot_id").agg(F.collect_set("report_id").alias("reports"))
+    # What a broadcast would send are the pairs of lot and report, not the lots.
+    if at_most(ws.report_lots, ws.params.broadcast_rows):
+        covered = F.broadcast(covered)
     placed = (
         ws.observation.select("id_synthese", "lot_id", *key, "id_source", "id_import", "geom")
         .filter(F.col("geom.kind").isNotNull())
         .filter(F.col("cd_nom").isNotNull() & F.col("date_min").isNotNull())
+        .withColumn("year", year)
     )
-    no_import = F.coalesce(F.col("id_import"), F.lit(-1))
-    level = _level(F.col("geom"), reach)
+    level = _level(F.col("geom"), cell)
     several = (
-        placed.join(covered.withColumn("reported", F.lit(True)), "lot_id", "left")
-        .groupBy(*key)
+        placed.join(ws.reported_lots.withColumn("reported", F.lit(True)), "lot_id", "left")
+        .groupBy(*key, "year")
         .agg(
-            F.min("id_source").alias("s0"), F.max("id_source").alias("s1"),
-            F.min(no_import).alias("i0"), F.max(no_import).alias("i1"),
+            F.min("lot_id").alias("lot0"), F.max("lot_id").alias("lot1"),
             F.max("reported").alias("reported"),
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("levels"),
         )
-        .filter("reported AND (s0 <> s1 OR i0 <> i1)")
-        .select(*key, year, "levels")
+        .filter("reported AND lot0 <> lot1")
+        .select(*key, "year", "levels")
     )
     by_lot = (
-        placed.groupBy(*key, "id_source", "id_import", "lot_id", "geom")
+        placed.join(several, [*key, "year"])
+        .groupBy(*key, "levels", "id_source", "id_import", "lot_id", "geom")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
         .join(covered, "lot_id", "left")
     )
     return (
-        by_lot.groupBy(*key, "geom")
+        by_lot.groupBy(*key, "levels", "geom")
         .agg(
             F.collect_list(
                 F.struct("lot_id", "id_source", "id_import", "n", "reports")
             ).alias("lots"),
             F.min("gid").alias("gid"),
         )
-        .select("*", year)
-        .join(several, [*key, "year"])
-        .drop("year")
         .withColumn("own", level)
     )
 
@@ -182,19 +193,19 @@ def close_places(ws: Workspace) -> DataFrame:
     """Pairs of places of the same taxon and start at most the distance apart, a place
     of several lots with itself included, the first with a reported lot: one row and one
     test of the geometries per pair of *places*, never per pair of records or lots."""
-    reach = ws.params.duplicate_distance_m
+    reach, cell = ws.params.duplicate_distance_m, _finest(ws)
     meeting = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
     every = places(ws)
     reported = every.filter(F.exists("lots", lambda lot: lot["reports"].isNotNull()))
 
     def side(df: DataFrame, prefix: str, first: bool) -> DataFrame:
-        cells = _in_cells(df, _meetings(first), reach if first else 0.0, reach)
+        cells = _in_cells(df, _meetings(first), reach if first else 0.0, cell)
         return cells.select(
             *[F.col(c) if c in meeting else F.col(c).alias(prefix + c) for c in cells.columns]
         )
 
     ga, gb = F.col("a_geom"), F.col("b_geom")
-    size = _cell_size(F.col("level"), reach)
+    size = _cell_size(F.col("level"), cell)
     corner_x = F.floor(F.greatest(ga["xmin"] - reach, gb["xmin"]) / size)
     corner_y = F.floor(F.greatest(ga["ymin"] - reach, gb["ymin"]) / size)
     itself = F.col("a_gid") == F.col("b_gid")

@@ -101,7 +101,7 @@ def summary(ws: Workspace) -> DataFrame:
             F.max("count_max").alias("effectif_max"),
         )
         .select(
-            "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue_orb"),
+            "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue"),
             "secteur_obs",
             new_presence(F.col("presence"), F.col("in_ra"), F.col("in_au")).alias("nouvelle_presence"),
             "nb_donnees", "premiere_observation", "derniere_observation",
@@ -116,7 +116,7 @@ def points(ws: Workspace) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     found = sightings(ws).groupBy(*TAXON, "geom").agg(_observed_sectors().alias("secteur_obs"))
     return geo.evaluated(found, geo.centroid(F.col("geom")), "x", "y").select(
-        "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue_orb"),
+        "nom_vern", "lb_nom", "cd_ref", F.col("presence").alias("presence_connue"),
         "secteur_obs", LAMBERT93.lat(x, y).alias("lat"), LAMBERT93.lon(x, y).alias("lon"),
     )
 

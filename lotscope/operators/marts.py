@@ -94,7 +94,9 @@ def mesh(ws: Workspace) -> DataFrame:
     """
     kinds = ws.tables.area_type.filter(F.col("type_code") == ws.params.mesh_type)
     areas = ws.tables.area.join(F.broadcast(kinds.select("id_type").limit(1)), "id_type")
-    links = ws.tables.cor_area.join(ws.small(areas.select("id_area")), "id_area")
+    links = ws.tables.cor_area.select("id_synthese", "id_area").join(ws.small(areas.select("id_area")), "id_area")
+    # A repeated link counts once; the join needs the links by observation in any case.
+    links = links.repartition("id_synthese").dropDuplicates(["id_synthese", "id_area"])
     by_taxon = (
         ws.observation.select("id_synthese", *LOT, "cd_nom")
         .join(links, "id_synthese")

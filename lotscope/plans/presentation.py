@@ -52,7 +52,7 @@ HEADINGS = {
         "nom_vern": "Nom vernaculaire",
         "lb_nom": "Nom scientifique",
         "cd_ref": "Cd_ref",
-        "presence_connue_orb": "Présence connue",
+        "presence_connue": "Présence connue",
         "secteur_obs": "Secteur(s) d'observation",
         "nouvelle_presence": "Nouvelle présence",
         "nb_donnees": "Nombre d'observations",

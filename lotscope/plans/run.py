@@ -54,8 +54,9 @@ def write_section(section: Section, df: DataFrame, names: DataFrame, path: str)
 
 
 def export_duplicates(groups: DataFrame, names: DataFrame, path: str) -> None:
-    """Duplicate groups as CSV with a header, one folder per report."""
-    named = _by_report(groups, names).drop("report_id")
+    """Duplicate groups as CSV with a header, one folder per safe name; ``report_id`` tells
+    apart reports that share one."""
+    named = _by_report(groups, names)
     named.write.mode("overwrite").option("header", True).partitionBy("fichier").csv(path)
 
 
@@ -78,7 +79,7 @@ def run_reports(ws: Workspace, out: str, only: list[str] | None = None) -> Outco
         except Exception as error:
             log.exception("section %s failed and is left empty", name)
             write_section(section, section.empty(spark), names, path)
-            status.append((name, False, str(error)[:2000]))
+            status.append((name, False, str(error)))
     written = {
         name: spark.read.schema(SECTIONS[name].schema).parquet(f"{out}/{name}")
         for name in only or SECTIONS

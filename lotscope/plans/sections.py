@@ -118,14 +118,14 @@ SECTIONS: dict[str, Section] = {
     ),
     "invasive_summary": Section(
         invasive.summary,
-        "nom_vern string, lb_nom string, cd_ref int, presence_connue_orb string, "
+        "nom_vern string, lb_nom string, cd_ref int, presence_connue string, "
         "secteur_obs string, nouvelle_presence string, nb_donnees bigint, "
         "premiere_observation timestamp_ntz, derniere_observation timestamp_ntz, "
         "effectif_min int, effectif_max int",
     ),
     "invasive_points": Section(
         invasive.points,
-        "nom_vern string, lb_nom string, cd_ref int, presence_connue_orb string, "
+        "nom_vern string, lb_nom string, cd_ref int, presence_connue string, "
         "secteur_obs string, lat double, lon double",
     ),
 }

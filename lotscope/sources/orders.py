@@ -240,13 +240,6 @@ def cor_area(orders: DataFrame) -> DataFrame:
     return _shaped(rows, "cor_area")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A small table stored as one row group is read by one task; give every core a
-    share of it.  A table read by enough tasks is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 # Columns read from the test tables.
 READ = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -305,7 +298,7 @@ def tables(spark: SparkSession, folder: str) -> Tables:
         return spark.read.schema(READ[name]).parquet(f"{folder}/{name}.parquet")
 
     def orders() -> DataFrame:
-        return spread(read("orders"), "o_orderkey")
+        return read("orders")
 
     def rows(table: str, values, columns: str | None = None):
         literal = lambda: _literal(spark, values, columns or SCHEMAS[table])

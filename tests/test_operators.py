@@ -149,7 +149,7 @@ def test_mesh_counts_a_missing_name_once_and_takes_the_largest_lot(spark, make):
         ),
         taxref=spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "cd_nom int, lb_nom string"),
         cor_area=spark.createDataFrame(
-            [(i, 7) for i in range(6)] + [(0, 8)], "id_synthese bigint, id_area int"
+            [(i, 7) for i in range(6)] + [(0, 8), (0, 7), (5, 7)], "id_synthese bigint, id_area int"
         ),
         area=spark.createDataFrame(
             [(7, 27, "m", shapes.box(0, 0, 1, 1)), (8, 26, "d", None)],
@@ -609,6 +609,26 @@ def test_duplicates_of_the_import_module_are_named_by_the_import(spark, make):
     assert rows(duplicates.alert_counts(ws)) == [("r", 0, 1)]
 
 
+@pytest.mark.parametrize(("lots", "distance"), [(((None, 7), (1, 7)), 5.0), (((1, -1), (1, None)), 5.0), (((2, 1), (1, 1)), 0.0)])
+def test_lots_differ_by_their_identifier_and_distance_may_be_zero(spark, make, lots, distance):
+    (s0, i0), (s1, i1) = lots
+    at = shapes.box(0, 0, 1, 1)
+    records = [dict(id_source=s, id_import=i, cd_nom=1, date_min=day(1), geom=at) for s, i in ((s0, i0), (s1, i1), (s1, i1))]
+    ws = make(
+        params=dict(duplicate_distance_m=distance),
+        observation=observations(spark, records),
+        source=spark.createDataFrame([(1, "one"), (2, "two")], "id_source int, desc_source string"),
+        report=report(spark, r="_7" if s0 is None else f"{s0}_{i0}"),
+        **{"import": spark.createDataFrame([], "id_import int, additional_data string")},
+    )
+    assert rows(duplicates.across_lots(ws)) == [("r", "one", 2, 2)]
+
+
+def test_accents_fold_beyond_latin_1(spark):
+    df = one_column(spark, ["Žďár Łódź Kőszeg", "ạặ Ẁ đ"])
+    assert column(df, text.safe_file_name(F.col("v"))) == ["Zdar_Lodz_Koszeg", "aa_W_d"]
+
+
 # -- invasive taxa ---------------------------------------------------------------
 
 def test_new_presence_rule(spark):

@@ -88,7 +88,7 @@ def test_duplicates_export(spark, ws, tmp_path):
     )
     run.export_duplicates(groups, run.output_names(ws), str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
-    assert back.columns == ["cd_nom", "lb_nom", "fichier"]
+    assert back.columns == ["report_id", "cd_nom", "lb_nom", "fichier"]
     assert rows(back) == [("1", "é", "toute_la_base"), ("2", "b", "toute_la_base"), ("3", "c", "source_trois")]
 
 
@@ -227,9 +227,3 @@ def test_registered_queries_match_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert check.compare(spark, check.connect(folder), folder, name)[0] == ""
-
-
-def test_orders_are_spread_only_when_read_by_too_few_tasks(spark):
-    df = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
-    assert orders.spread(df, "id") is df
-    assert orders.spread(df.coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
