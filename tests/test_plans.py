@@ -89,7 +89,9 @@ def test_duplicates_export(spark, ws, tmp_path):
     run.export_duplicates(groups, run.output_names(ws), str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == ["report_id", "cd_nom", "lb_nom", "fichier"]
-    assert rows(back) == [("1", "é", "toute_la_base"), ("2", "b", "toute_la_base"), ("3", "c", "source_trois")]
+    assert rows(back) == [
+        ("all", "1", "é", "toute_la_base"), ("all", "2", "b", "toute_la_base"), ("source3", "3", "c", "source_trois"),
+    ]
 
 
 def test_a_failing_section_is_left_empty_and_recorded(spark, ws, tmp_path, monkeypatch):
