@@ -64,13 +64,6 @@ def from_parts(kind: str | Column, parts: Column) -> Column:
     )
 
 
-def segment_line(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return _geometry(
-        F.lit("LINESTRING"), F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2),
-        F.greatest(y1, y2), F.array(part("LINESTRING", ring((x1, y1), (x2, y2)))),
-    )
-
-
 def rectangle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Axis-aligned rectangle, ``x1 <= x2`` and ``y1 <= y2``."""
     shell = ring((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))
@@ -432,3 +425,75 @@ def geojson_vertices(text: Column) -> Column:
         )
         .when(kind == "Point", F.array(F.from_json(body, "array<double>")))
     )
+
+
+def _read_parts(kind: Column, body: Column) -> Column:
+    """Parts of the coordinates ``body`` (JSON text) of one geometry but a collection."""
+
+    def nested(depth: int) -> Column:
+        return F.from_json(body, "array<" * depth + "double" + ">" * depth)
+
+    def vertex(v: Column) -> Column:
+        return _xy(F.get(v, F.lit(0)), F.get(v, F.lit(1)))
+
+    def line(vertices: Column) -> Column:
+        return F.transform(vertices, vertex)
+
+    def made(name: str, rings: Column) -> Column:
+        return F.struct(F.lit(name).alias("kind"), rings.alias("rings"))
+
+    def alone(v: Column) -> Column:
+        return made("POINT", F.array(F.array(vertex(v))))
+
+    return (
+        F.when(kind == "Point", F.array(alone(nested(1))))
+        .when(kind == "MultiPoint", F.transform(nested(2), alone))
+        .when(kind == "LineString", F.array(made("LINESTRING", F.array(line(nested(2))))))
+        .when(
+            kind == "MultiLineString",
+            F.transform(nested(3), lambda r: made("LINESTRING", F.array(line(r)))),
+        )
+        .when(kind == "Polygon", F.array(made("POLYGON", F.transform(nested(3), line))))
+        .when(
+            kind == "MultiPolygon",
+            F.transform(nested(4), lambda p: made("POLYGON", F.transform(p, line))),
+        )
+    )
+
+
+def _sound(parts: Column) -> Column:
+    """Has every part rings, and every ring enough vertices with both coordinates?"""
+
+    def ring_sound(least: Column):
+        return lambda r: (F.size(r) >= least) & F.forall(
+            r, lambda v: v["x"].isNotNull() & v["y"].isNotNull()
+        )
+
+    def part_sound(p: Column) -> Column:
+        least = F.when(p["kind"] == "POLYGON", 4).when(p["kind"] == "LINESTRING", 2).otherwise(1)
+        return (F.size(p["rings"]) > 0) & F.forall(p["rings"], ring_sound(least))
+
+    return (F.size(parts) > 0) & F.forall(parts, part_sound)
+
+
+def from_geojson(text: Column) -> Column:
+    """The geometry of a GeoJSON text of any of the seven kinds; further coordinates than two
+    are passed over.  NULL for NULL, for malformed and for empty ones, and for a collection
+    inside a collection."""
+    kind = F.get_json_object(text, "$.type")
+    members = F.from_json(
+        F.get_json_object(text, "$.geometries"), "array<struct<type:string,coordinates:string>>"
+    )
+    parts = F.when(
+        kind == "GeometryCollection",
+        F.flatten(F.transform(members, lambda m: _read_parts(m["type"], m["coordinates"]))),
+    ).otherwise(_read_parts(kind, F.get_json_object(text, "$.coordinates")))
+
+    def made(p: Column) -> Column:
+        first = p[0]["rings"][0][0]
+        return F.when(
+            _sound(p),
+            F.when(kind == "Point", point(first["x"], first["y"])).otherwise(from_parts(F.upper(kind), p)),
+        )
+
+    return bind(parts, made)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
@@ -39,11 +40,30 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--refresh-marts", action="store_true", help="rebuild the marts first")
     parser.add_argument("--list-reports", action="store_true", help="derive the reports from the flags")
     parser.add_argument("--only-file", help="only the report with this file name")
+    parser.add_argument(
+        "--param", action="append", default=[], metavar="NAME=VALUE",
+        help="a field of Params, as often as needed; lists are comma-separated",
+    )
     return parser.parse_args(argv)
 
 
+def settings(given: list[str]) -> Params:
+    """``Params`` with the ``name=value`` texts in ``given``, read as the default's type."""
+    defaults, values = {f.name: f.default for f in fields(Params)}, {}
+    for item in given:
+        name, _, value = item.partition("=")
+        if name not in defaults:
+            raise ValueError(f"no such setting: {item}")
+        default = defaults[name]
+        values[name] = (
+            tuple(v.strip() for v in value.split(",") if v.strip())
+            if isinstance(default, tuple) else type(default)(value)
+        )
+    return Params(**values)
+
+
 def prepare(spark: SparkSession, args: argparse.Namespace, params: Params | None = None) -> Workspace:
-    ws = Workspace(read_parquet(spark, args.tables), params)
+    ws = Workspace(read_parquet(spark, args.tables), params or settings(args.param))
     if args.marts and args.refresh_marts:
         refresh_marts(ws, args.marts)
     if args.marts:

@@ -210,3 +210,47 @@ def test_projection_round_trip(spark):
         (p.lat(F.col("x"), F.col("y")) - F.col("lat")).alias("dlat"),
     ).collect()
     assert all(abs(r["dlon"]) < 1e-9 and abs(r["dlat"]) < 1e-9 for r in rows)
+
+
+ALL_KINDS = [
+    shapes.point(1.5, -2.25),
+    shapes.geom("MULTIPOINT", ("POINT", [[(0, 0)]]), ("POINT", [[(3, 4)]])),
+    shapes.line((0, 0), (3, 4), (3, 9)),
+    shapes.geom("MULTILINESTRING", ("LINESTRING", [[(0, 0), (1, 1)]]), ("LINESTRING", [[(5, 5), (9, 5)]])),
+    shapes.polygon([(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]),
+    shapes.geom(
+        "MULTIPOLYGON",
+        ("POLYGON", [[(0, 0), (1, 0), (1, 1), (0, 0)]]),
+        ("POLYGON", [[(5, 5), (6, 5), (6, 6), (5, 5)]]),
+    ),
+    shapes.geom(
+        "GEOMETRYCOLLECTION",
+        ("POINT", [[(7, 7)]]), ("LINESTRING", [[(0, 0), (1, 2)]]),
+        ("POLYGON", [[(0, 0), (2, 0), (2, 2), (0, 0)]]),
+    ),
+]
+
+
+def test_geojson_is_read_back(spark):
+    rows = [(i, g) for i, g in enumerate(ALL_KINDS)]
+    df = spark.createDataFrame(rows, f"i int, g {GEOMETRY_DDL}")
+    read = df.select("i", "g", geo.from_geojson(geo.geojson(F.col("g"))).alias("back"))
+    assert read.filter("g <=> back").count() == len(ALL_KINDS)
+
+
+def test_geojson_that_is_no_geometry_gives_null(spark):
+    texts = [
+        None, "", "{", "[]", '{"type":"Circle","coordinates":[1,2]}', '{"type":"Point"}',
+        '{"type":"Point","coordinates":[]}', '{"type":"Point","coordinates":[1]}',
+        '{"type":"Point","coordinates":["a",2]}', '{"type":"LineString","coordinates":[[1,2]]}',
+        '{"type":"Polygon","coordinates":[]}', '{"type":"Polygon","coordinates":[[[0,0],[1,1],[0,0]]]}',
+        '{"type":"MultiPoint","coordinates":[[1,2],null]}', '{"type":"GeometryCollection","geometries":[]}',
+        '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1]}]}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(geo.from_geojson(F.col("t")).isNotNull()).collect() == []
+
+
+def test_geojson_with_heights(spark):
+    df = spark.createDataFrame([('{"type":"Point","coordinates":[1,2,300]}',)], "t string")
+    assert df.select(geo.geojson(geo.from_geojson(F.col("t")))).first()[0] == '{"type":"Point","coordinates":[1,2]}'

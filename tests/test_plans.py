@@ -229,3 +229,19 @@ def test_registered_queries_match_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert check.compare(spark, check.connect(folder), folder, name)[0] == ""
+
+
+def test_settings_of_the_job():
+    from lotscope.model import Params
+    from lotscope.plans.job import arguments, settings
+
+    given = arguments([
+        "--tables", "t", "--out", "o", "--param", "import_source_id=3", "--param", "invasive_lots=3_1, 3_2",
+        "--param", "region_pattern=%Bretagne%", "--param", "duplicate_distance_m=2.5",
+    ]).param
+    assert settings(given) == Params(
+        import_source_id=3, invasive_lots=("3_1", "3_2"), region_pattern="%Bretagne%", duplicate_distance_m=2.5
+    )
+    assert settings([]) == Params()
+    with pytest.raises(ValueError):
+        settings(["unknown=1"])
