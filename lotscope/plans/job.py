@@ -3,7 +3,7 @@
     spark-submit --py-files lotscope.zip lotscope/plans/job.py --tables DIR --out DIR
 
 Exit code 0: all sections of all reports written; 1: the marts could not be refreshed;
-2: some section failed and was left empty.
+2: some section of some report failed; ``section_status`` says which.
 """
 
 from __future__ import annotations
@@ -91,8 +91,9 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     outcome = run_reports(ws, args.out)
     log.info(
-        "%d reports in %.1f s, failed sections: %s",
+        "%d reports in %.1f s, failed sections: %s, failed reports: %d",
         outcome.reports, time.monotonic() - start, ", ".join(outcome.failed_sections) or "none",
+        len(outcome.failed_reports),
     )
     return outcome.exit_code
 

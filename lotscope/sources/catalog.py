@@ -5,42 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Required objects with their kind and how badly each is needed.
+# Required objects with their kind, where they come from and how badly each is needed.
 REQUIRED = (
-    ("report", "vue", "Bloquant"),
-    ("mart_dataset", "mv", "Bloquant"),
-    ("mart_detail", "mv", "Bloquant"),
-    ("mart_framework", "mv", "Majeur"),
-    ("mart_rank", "mv", "Majeur"),
-    ("mart_temporal", "mv", "Majeur"),
-    ("mart_mesh", "mv", "Majeur"),
-    ("observation", "table", "Bloquant"),
-    ("source", "table", "Mineur"),
-    ("taxref", "table", "Bloquant"),
-    ("rank", "table", "Mineur"),
-    ("area", "table", "Majeur"),
-    ("nomenclature", "table", "Majeur"),
-    ("import", "table", "Majeur"),
-    ("latest_validation", "vue", "Mineur"),
-    ("invasive", "table", "Mineur"),
+    ("report", "vue", "Spécifique projet", "Bloquant"),
+    ("mart_dataset", "mv", "Spécifique projet", "Bloquant"),
+    ("mart_detail", "mv", "Spécifique projet", "Bloquant"),
+    ("mart_framework", "mv", "Spécifique projet", "Majeur"),
+    ("mart_rank", "mv", "Spécifique projet", "Majeur"),
+    ("mart_temporal", "mv", "Spécifique projet", "Majeur"),
+    ("mart_mesh", "mv", "Spécifique projet", "Majeur"),
+    ("observation", "table", "Core", "Bloquant"),
+    ("source", "table", "Core", "Mineur"),
+    ("taxref", "table", "Core", "Bloquant"),
+    ("rank", "table", "Core", "Mineur"),
+    ("area", "table", "Core", "Majeur"),
+    ("nomenclature", "table", "Core", "Majeur"),
+    ("import", "table", "Module Import", "Majeur"),
+    ("latest_validation", "vue", "Module Validation", "Mineur"),
+    ("invasive", "table", "Spécifique projet", "Mineur"),
 )
-REQUIRED_FUNCTIONS = (("get_id_nomenclature", "fonction", "Majeur"),)
+REQUIRED_FUNCTIONS = (("get_id_nomenclature", "fonction", "Core", "Majeur"),)
 
 
-def _status(spark: SparkSession, required, present: DataFrame) -> DataFrame:
+def _status(spark: SparkSession, schema: str, required, present: DataFrame) -> DataFrame:
     wanted = spark.createDataFrame(
-        list(required), "nom_objet string, type_objet string, criticite string"
-    )
+        list(required), "nom_objet string, type_objet string, origine string, criticite string"
+    ).withColumn("schema_objet", F.lit(schema))
     urgency = (
         F.when(F.col("criticite") == "Bloquant", 0).when(F.col("criticite") == "Majeur", 1).otherwise(2)
     )
     return (
         wanted.join(present.withColumn("found", F.lit(True)), "nom_objet", "left")
         .select(
-            "nom_objet", "type_objet", "criticite",
+            "schema_objet", "nom_objet", "type_objet", "origine", "criticite",
             F.when(F.col("found"), "OK").otherwise("MANQUANT").alias("statut"),
         )
-        .orderBy(urgency, "nom_objet")
+        .orderBy(urgency, "schema_objet", "nom_objet")
     )
 
 
@@ -49,11 +49,12 @@ def readiness(spark: SparkSession, database: str | None = None, required=REQUIRE
     first."""
     where = f" IN {database}" if database else ""
     present = spark.sql(f"SHOW TABLES{where}").select(F.col("tableName").alias("nom_objet")).distinct()
-    return _status(spark, required, present)
+    return _status(spark, database or spark.catalog.currentDatabase(), required, present)
 
 
-def function_readiness(spark: SparkSession, required=REQUIRED_FUNCTIONS) -> DataFrame:
-    present = spark.sql("SHOW USER FUNCTIONS").select(
+def function_readiness(spark: SparkSession, database: str | None = None, required=REQUIRED_FUNCTIONS) -> DataFrame:
+    schema = database or spark.catalog.currentDatabase()
+    present = spark.sql(f"SHOW USER FUNCTIONS IN {schema}").select(
         F.substring_index("function", ".", -1).alias("nom_objet")
     ).distinct()
-    return _status(spark, required, present)
+    return _status(spark, schema, required, present)

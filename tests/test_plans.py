@@ -92,6 +92,8 @@ def test_duplicates_export(spark, ws, tmp_path):
     assert rows(back) == [
         ("all", "1", "é", "toute_la_base"), ("all", "2", "b", "toute_la_base"), ("source3", "3", "c", "source_trois"),
     ]
+    for path in glob.glob(str(tmp_path / "csv" / "*" / "*.csv")):
+        assert open(path, "rb").read(5) == b"\xef\xbb\xbfre"
 
 
 def test_a_failing_section_is_left_empty_and_recorded(spark, ws, tmp_path, monkeypatch):
@@ -117,6 +119,40 @@ def test_a_failing_section_is_left_empty_and_recorded(spark, ws, tmp_path, monke
     assert spark.read.parquet(f"{out}/kpi_totals").count() == 4
 
 
+def test_only_the_reports_that_fail_lack_a_section(spark, ws, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    good = SECTIONS["by_year"]
+
+    def broken_for_two(w):
+        bad = F.col("report_id").isin("source3", "mixed")
+        return good.build(w).withColumn("an", F.when(bad, F.raise_error(F.lit("bad date")).cast("int")).otherwise(F.col("an")))
+
+    monkeypatch.setitem(SECTIONS, "by_year", Section(broken_for_two, good.schema, good.order))
+    outcome = run.run_reports(ws, out, only=["kpi_totals", "by_year"])
+    assert outcome.failed_sections == ("by_year",) and outcome.failed_reports == ("mixed", "source3")
+    assert (outcome.reports, outcome.exit_code) == (4, 2)
+    status = rows(spark.read.parquet(f"{out}/section_status").select("section", "report_id", "ok"))
+    assert status == [("by_year", "mixed", False), ("by_year", "source3", False), ("kpi_totals", None, True)]
+    kept = spark.read.parquet(f"{out}/by_year").drop("fichier")
+    assert rows(kept) == rows(good.build(ws).filter("report_id not in ('source3', 'mixed')")) and kept.count()
+
+
+def test_stored_sections_keep_their_order(spark, ws, tmp_path):
+    out = str(tmp_path / "out")
+    run.run_reports(ws, out, only=["rank_shares", "by_month", "geometry_sizes"])
+    for name in ("rank_shares", "by_month", "geometry_sizes"):
+        section, files = SECTIONS[name], glob.glob(f"{out}/{name}/fichier=*/*.parquet")
+        assert files
+        for path in files:
+            stored = spark.read.parquet(path)
+            assert stored.collect() == stored.coalesce(1).sortWithinPartitions("report_id", *section.ordering).collect(), name
+
+
+def test_sections_are_ordered_by_columns_that_they_have(spark):
+    for name, section in SECTIONS.items():
+        assert {c.lstrip("-") for c in section.order} <= set(section.empty(spark).columns), name
+
+
 def test_the_job_end_to_end(spark, ws, tmp_path, monkeypatch):
     from lotscope.plans import job
 
@@ -202,12 +238,14 @@ def test_readiness(spark):
     assert {"taxref", "area"} <= found and "observation" not in found
     (function,) = catalog.function_readiness(spark).collect()
     assert function["statut"] == "MANQUANT"
+    assert (function["schema_objet"], function["origine"]) == ("default", "Core")
+    origins = {r["nom_objet"]: r["origine"] for r in catalog.readiness(spark).collect()}
+    assert origins["import"] == "Module Import" and origins["mart_rank"] == "Spécifique projet"
     spark.catalog.dropTempView("taxref")
     spark.catalog.dropTempView("area")
 
 
-def test_facts_are_scanned_narrowly_and_joined_by_broadcast(spark, ws, tmp_path):
-    """Plans of the heavy sections: no nested loop, no cross join, no Python."""
+def test_no_plan_has_a_nested_loop_or_python(spark, ws):
     for name in SECTIONS:
         plan = SECTIONS[name].build(ws)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
@@ -220,7 +258,9 @@ def test_entry_and_registration(spark):
     df = entry.entry(spark)
     assert df.columns == ["report_id", "nb_obs", "nb_jdd", "nb_ca", "nb_taxon", "nb_esp"]
     assert df.count() == 4
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # Of the text queries, which can be taken away, SQL can't express all.
+    own = {*entry.ON_WORKSPACE, "safe_file_name"}
+    assert own <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", ["kpi_totals", "dup_across", "outside_region", "invasive_points", "fold_records"])
