@@ -127,10 +127,10 @@ def _searched(docs: DataFrame, items: list, columns: str, names: list[str]) -> D
     )
 
 
-def found_in(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def found_in(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, content: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, the hit ranges of words as ``starts`` and ``ends`` (exclusive,
     disjoint, ascending) and the ascending ``items`` with an occurring window, for every row
-    of ``docs`` (doc_id, text).
+    of ``docs`` (doc_id, text); with ``content`` also a hash of the text of that name.
 
     Null texts have no words; neither side's other columns matter.  A benchmark row without
     item_id marks words but names no item; rows that share an item_id are one item.  The
@@ -138,24 +138,31 @@ def found_in(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES
     longer text makes a part of its own).
     """
     none = "cast(array() as array<bigint>)"
-    now = docs.select("doc_id", F.col("text").cast("binary").alias("_text"), *(F.expr(none).alias(c) for c in ("starts", "ends", "items")))
+    own = {"doc_id": F.col("doc_id")} | ({"content": F.xxhash64("text")} if content else {})
+    columns = ", ".join(f"{c} bigint" for c in own)
+    now = docs.select(*(e.alias(c) for c, e in own.items()), F.col("text").cast("binary").alias("_text"), *(F.expr(none).alias(c) for c in ("starts", "ends", "items")))
     wanted = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
     total = wanted.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for i in range(parts):
         items = [tuple(r) for r in wanted.filter(part == i).collect()]
-        now = _searched(now, items, "doc_id bigint", ["doc_id"])
+        now = _searched(now, items, columns, list(own))
         if i + 1 < parts:
             now = checkpointed(now)
     return now.drop("_text")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit, columns unchanged."""
-    bad = found_in(docs, benchmark).filter(F.size("starts") > 0)
-    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` without any hit, columns unchanged.
+
+    A hit drops the rows of its doc_id and text (by hash), not others with that doc_id or
+    without any.
+    """
+    bad = found_in(docs, benchmark, content=True).filter(F.size("starts") > 0)
+    bad = bad.select(F.col("doc_id").alias("_bad"), F.col("content").alias("_bad_content")).distinct()
+    same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_content"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op5_wu_manber(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
