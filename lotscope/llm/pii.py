@@ -39,16 +39,32 @@ DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0",
 }
-AT = re.compile(r"\s{0,2}[\[({<]\s?at\s?[\])}>]\s{0,2}", re.I)
-DOT = re.compile(r"\s{0,2}[\[({<]\s?(?:dot|punkt|point|punto)\s?[\])}>]\s{0,2}", re.I)
-#: Without brackets only whole addresses are taken: both words, between blanks.
-BARE = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} at [\w-]{1,63}(?: dot [\w-]{1,63}){1,8}(?![\w-])", re.I)
+AT = re.compile(r"\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}", re.I)
+DOT = re.compile(r"\s{0,2}[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s{0,2}", re.I)
+#: Without brackets only whole addresses are taken: a bare "at" needs a bare "dot" after it.
+BARE = re.compile(
+    r"(?<![\w.%+-])(?:[\w%+-]{1,64} dot ){0,3}[\w.%+-]{1,64}(?:@| at (?=[\w.-]{1,255} dot ))"
+    r"[\w-]{1,63}(?:(?: dot |\.)[\w-]{1,63}){1,8}(?![\w-])",
+    re.I,
+)
 WORD = "|".join(DIGIT_WORDS)
-#: Digits and words for digits, at least seven and with a word among them.
-SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+) ?)?(?:(?:{WORD}|[0-9])(?:[ ,-]{{1,2}}|(?=\W|\Z))){{7,}}", re.I)
+DIGIT = rf"(?:{WORD}|[0-9])(?!\w)"
+#: Runs of digits and words for digits; commas stand only between single ones.
+SPELLED = re.compile(
+    rf"(?<!\w)(?:(?:plus|\+) ?)?(?:{WORD}|[0-9]++)(?!\w)(?:[ -]{{1,2}}(?:{WORD}|[0-9]++)(?!\w)|(?<![0-9][0-9])[ ,-]{{1,2}}{DIGIT})+", re.I
+)
+SPELLED_LEAST = 7
+#: One number of an address of four: a run of digits, or up to three digits with a word among them.
+NUMBER = (
+    rf"(?:[0-9]{{1,3}}(?!\w)|{DIGIT}|(?=(?:[0-9]{{1,2}}[ ,-]{{1,2}}){{0,2}}(?:{WORD})(?!\w))"
+    rf"(?:{DIGIT}(?:[ ,-]{{1,2}}{DIGIT}){{1,2}}|[0-9]{{2}}[ ,-]{{1,2}}{DIGIT}|{DIGIT}[ ,-]{{1,2}}[0-9]{{2}}(?!\w)))"
+)
+DOTTED = re.compile(rf"(?<![\w.]){NUMBER}(?:(?: dot |\.){NUMBER}){{3}}", re.I)
 LETTER = re.compile("[a-z]", re.I)
 SPELLED_PART = re.compile(rf"(plus ?)|({WORD})|([ ,-]{{1,2}}(?={WORD}|[0-9]))", re.I)
-HINTS = re.compile(r"[\[({<]\s?(?:at|dot|punkt|point|punto)\s?[\])}>]| dot \w", re.I)
+DOTTED_PART = re.compile(rf"( dot )|({WORD})|([ ,-]{{1,2}}(?={WORD}|[0-9]))", re.I)
+HINTS = re.compile(r"[\[({<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\])}>]| dot \w", re.I)
+DIGIT_WORD = re.compile(WORD, re.I)
 
 
 def passes_luhn(digits: str) -> bool:
@@ -133,9 +149,10 @@ class Transducer:
         return "".join(self.out)
 
 
-def _aligned(transducer: Transducer, pattern: re.Pattern, inner: re.Pattern, write) -> None:
-    """Rewrite only inside what ``pattern`` matches, part by part, so that positions stay fine."""
-    inside = [m.span() for m in pattern.finditer(transducer.text()) if LETTER.search(m[0])]
+def _aligned(transducer: Transducer, pattern: re.Pattern, inner: re.Pattern, write, taken=LETTER.search) -> None:
+    """Rewrite only inside what ``pattern`` matches and ``taken`` accepts, part by part, so that
+    positions stay fine."""
+    inside = [m.span() for m in pattern.finditer(transducer.text()) if taken(m[0])]
     if not inside:
         return
     at = iter(inside)
@@ -153,12 +170,18 @@ def _aligned(transducer: Transducer, pattern: re.Pattern, inner: re.Pattern, wri
 ADDRESS_PART = re.compile(r" (at|dot) ", re.I)
 
 
+def is_spelled(run: str) -> bool:
+    """At least seven digits in all, and a word among them."""
+    return bool(LETTER.search(run)) and len(DIGITS.findall(run)) + len(DIGIT_WORD.findall(run)) >= SPELLED_LEAST
+
+
 def normalised(text: str) -> Transducer | None:
     """The normal form of ``text``; None where it has nothing to undo."""
     odd = not text.isascii() and any(alike(c) != c for c in set(text) if not c.isascii())
     hinted = HINTS.search(text)
-    spelled = SPELLED.search(text)
-    if not (odd or hinted or spelled):
+    spelled = any(is_spelled(m[0]) for m in SPELLED.finditer(text))
+    dotted = any(LETTER.search(m[0]) for m in DOTTED.finditer(text))
+    if not (odd or hinted or spelled or dotted):
         return None
     done = Transducer(text)
     if odd:
@@ -167,8 +190,10 @@ def normalised(text: str) -> Transducer | None:
         done.rewrite(AT, lambda m: "@")
         done.rewrite(DOT, lambda m: ".")
         _aligned(done, BARE, ADDRESS_PART, lambda m: "@" if m[1].lower() == "at" else ".")
+    if odd or hinted or dotted:
+        _aligned(done, DOTTED, DOTTED_PART, lambda p: "." if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "")
     if odd or spelled:
-        _aligned(done, SPELLED, SPELLED_PART, lambda p: "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "")
+        _aligned(done, SPELLED, SPELLED_PART, lambda p: "+" if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else "", is_spelled)
     return done
 
 
