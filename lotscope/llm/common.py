@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,6 +63,15 @@ def rows_with(df: DataFrame, columns: dict[str, str], schema: str, rows: Callabl
     return wanted.mapInArrow(run, fields)
 
 
+def kept_by_worker(key, make: Callable):
+    """``make()``, kept by the worker process for its next tasks.  For tables of bounded size
+    that only save work: a new worker makes its own."""
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs without blanks (x20, x09 to x0D); 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

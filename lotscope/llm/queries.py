@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lotscope.llm import (
-    chat, decontaminate, language_model, line_dedup, mixing, pii, quality, simhash, token_count, winnowing,
+    chat, decontaminate, divergence, filter_audit, language_model, line_dedup, mixing, packing, pii, quality,
+    simhash, token_count, winnowing,
 )
 from lotscope.llm.common import table
 
-#: Where the vocabularies of public tokenizers lie.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: How the byte-level vocabulary cuts texts before it merges (fixed value).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def vocabulary(name: str) -> str:
+    """Where the file of a public tokenizer lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _on_documents(build, *others: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         return build(*(table(spark, folder, name) for name in ("documents", *others)))
@@ -26,11 +31,15 @@ def _on_documents(build, *others: str):
 
 
 def _chat(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.op3_chat_tokens(table(spark, folder, "conversations"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+    return chat.op3_chat_tokens(table(spark, folder, "conversations"), vocabulary("byte_bpe_50k.tiktoken"), BYTE_PATTERN)
 
 
 def _tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return token_count.op10_token_counts(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_count.op10_token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.op11_packing(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -45,6 +54,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hash_mixing": _on_documents(mixing.op8_hash_mixing),
         "op9_pii_offsets": _on_documents(pii.op9_pii_offsets),
         "op10_token_counts": _tokens,
+        "op11_packing": _packed,
+        "op12_filter_audit": _on_documents(filter_audit.op12_filter_audit, "labels"),
+        "op13_source_divergence": _on_documents(divergence.op13_source_divergence),
     }
 
 
@@ -99,4 +111,7 @@ FROM texts t LEFT JOIN marked m ON t.doc_id = m.doc_id LEFT JOIN items i ON t.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_tokens": OP3_SQL, "op5_wu_manber": OP5_SQL, "op8_hash_mixing": mixing.OP8_SQL}
+    return {
+        "op3_chat_tokens": OP3_SQL, "op5_wu_manber": OP5_SQL, "op8_hash_mixing": mixing.OP8_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL,
+    }

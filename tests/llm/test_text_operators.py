@@ -120,7 +120,7 @@ def test_chat_reads_back_what_was_formatted(spark, monkeypatch):
         (5, 0, "assistant", "same"), (5, 0, "assistant", "same"),
     ]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("ids", F.lit(1))
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = queries.vocabulary("byte_bpe_50k.tiktoken")
     got = {r.conv_id: r for r in chat.op3_chat_tokens(turns, path, queries.BYTE_PATTERN).collect()}
     assert set(got) == {1, 2, 3, 4, 5, None, -7}
     for conv in set(got) - {-7}:
@@ -133,7 +133,7 @@ def test_chat_reads_back_what_was_formatted(spark, monkeypatch):
 
 
 def test_masks_cover_the_answer_and_its_end():
-    with open(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+    with open(queries.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
         codec = chat.Codec(f.read(), queries.BYTE_PATTERN)
     ids, mask = codec.turn_ids("assistant", "hello <turn> there")
     assert ids[0] == codec.turn and ids[-1] == codec.end and ids.count(codec.turn) == 1
@@ -431,7 +431,7 @@ def test_long_runs_take_linear_time():
 def test_counts_equal_the_library(make):
     from sentencepiece import SentencePieceProcessor
 
-    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    path = queries.vocabulary("piece_bpe_32k.model")
     library, own = SentencePieceProcessor(model_file=path), token_count.PieceCounter(token_count.read_pieces(path))
     rng = random.Random(10)
     texts = ["", " ", "   ", "\u2581\u2581a", "<s> x</s> <unk>", "a" * 5000, "\u65e5\u672c\u8a9e \U0001F600", "\ta\n\n  b", *(t or "" for _, t in ODD)]
