@@ -6,6 +6,7 @@ import string
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, and read back: for wide or large
+    tables, since checkpoints are not compressed."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_with(df: DataFrame, columns: dict[str, str], schema: str, rows: Callable[..., list]) -> DataFrame:
     """Rows of ``schema`` from the batches of ``columns`` (name to SQL expression).
 

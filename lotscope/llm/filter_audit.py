@@ -1,8 +1,9 @@
 """What filters on documents remove, in every order of applying them.
 
 Words are counted in a sparse matrix of documents and terms.  Each batch of documents is a shard
-with its own list of words, in compressed rows; all lists together make one dictionary, and the
-shards' columns are then numbered by it.  Sums and numbers of entries of the rows decide on A
+with its own list of words, in compressed rows.  All lists together make one dictionary, which
+gives a word its hash as its number once no two words of the corpus are found to share one, and
+else the place where it lies; the shards' columns are numbered by it.  Sums and numbers of entries of the rows decide on A
 (too few words) and B (too few distinct ones).  C (capitals), D (marks) and E (copies) are told
 of the text itself, and all that is left is counted by part and by which filters fail: 32 numbers
 from which every order follows.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotscope.llm.common import ROWS, checkpointed
+from lotscope.llm.common import ROWS, checkpointed, written
 
 LETTERS = "ABCDE"
 #: Fewest words, and distinct words and capitals as hundredths of words and code points.
@@ -99,22 +100,21 @@ def shards(docs: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, fields)
 
 
-def dictionary(made: DataFrame) -> DataFrame:
-    """``word``, ``term``: every word of the shards and its number in the whole corpus.
-
-    Words lie by hash in the partitions of one written table, numbered there in a range each.
-    """
-    words = made.select(F.explode("words").alias("word")).distinct()
-    return checkpointed(words.withColumn("term", F.monotonically_increasing_id()))
+def _hashed(word):
+    return F.xxhash64(word)
 
 
 def matrix(docs: DataFrame) -> DataFrame:
     """The shards with ``terms``: for each of a shard's words its number in the dictionary of
     the whole corpus, so that ``terms[columns]`` are the columns of the one large matrix."""
-    made = checkpointed(shards(docs))
-    terms = dictionary(made)
+    made = written(shards(docs))
     own = made.select("shard", F.posexplode("words").alias("column", "word"))
-    numbered = own.join(terms, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("column", "term"))).alias("terms"))
+    by_hash = own.groupBy(_hashed(F.col("word")).alias("hash")).agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    if not by_hash.filter("low < high").limit(1).count():
+        return made.withColumn("terms", F.transform("words", _hashed)).drop("words")
+    # Numbered in a range for each partition of one written table.
+    terms = written(own.select("word").distinct()).withColumn("term", F.monotonically_increasing_id())
+    numbered = own.join(written(terms), "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("column", "term"))).alias("terms"))
     return made.drop("words").join(numbered.withColumn("terms", F.col("terms.term")), "shard", "left")
 
 

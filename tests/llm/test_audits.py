@@ -7,6 +7,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lotscope.llm import divergence, filter_audit
 
@@ -68,7 +69,10 @@ def test_filters_in_every_order(spark, make, monkeypatch, size):
     assert len(got) == 600 * 5
 
 
-def test_columns_of_all_shards_are_numbered_as_one(spark, make, monkeypatch):
+@pytest.mark.parametrize("clashing", [False, True])
+def test_columns_of_all_shards_are_numbered_as_one(spark, make, monkeypatch, clashing):
+    if clashing:
+        monkeypatch.setattr(filter_audit, "_hashed", lambda word: F.crc32(word) % 2)
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 30)
     texts = ["a b a c", "c d", "", None, "b b b e a", "x " * 50]
     made = filter_audit.matrix(make(list(enumerate(texts)))).collect()
