@@ -12,6 +12,7 @@ same rule, and only then is it ranked exactly.
 from __future__ import annotations
 
 import string
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotscope.functions.sizing import broadcast_if_small
-from lotscope.llm.common import checkpointed
+from lotscope.llm.common import checkpointed, written
 
 #: Documents that a term must occur in, and terms ranked for a source.
 LEAST_DOCS, RANKS = 10, 10
@@ -32,7 +33,7 @@ LOOKED_AT = 1 << 14
 #: Sources that are compared as one block, and terms at a time.
 BLOCK, TERMS = 32, 1 << 12
 #: Counts of a language that one task compares, about.
-COMPARED = 1 << 20
+COMPARED = 1 << 16
 BROADCAST_GROUPS = 10_000
 
 #: For ``bytes.translate``: A-Z to a-z, and blanks for what belongs to no term.
@@ -51,34 +52,36 @@ def counted(docs: DataFrame) -> DataFrame:
     schema = "lang string, source string, term string, n bigint, docs bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        numbers: dict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        groups: dict[tuple[str, str], list[np.ndarray]] = {}
+        held = 0
 
         def made() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in groups.items():
-                names = [None, *(t.decode() for t in terms)]
-                numbers = np.array([(0, 0), *terms.values()], np.int64)
-                same = [pa.array([x] * len(names), pa.string()) for x in (lang, source)]
+            names = pa.array([w.decode() for w in numbers], pa.string())
+            for (lang, source), parts in groups.items():
+                of = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+                times = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+                docs = np.bincount(of, minlength=1)
+                here = np.flatnonzero(docs)
+                n = np.bincount(of, weights=times, minlength=1)[here].astype(np.int64)
+                terms = pa.concat_arrays([pa.nulls(1, pa.string()), names.take(pa.array(here))])
+                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int64))) for x in (lang, source)]
                 yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(names, pa.string()), pa.array(numbers[:, 0]), pa.array(numbers[:, 1])],
+                    [*same, terms, *(pa.array(np.concatenate([[0], x])) for x in (n, docs[here]))],
                     ["lang", "source", "term", "n", "docs"],
                 )
             groups.clear()
+            numbers.clear()
 
-        held = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                terms = groups.setdefault((lang, source), {})
-                before = len(terms)
                 words = text.translate(TERM_BYTES).split()
-                for word in words:
-                    if (own := terms.get(word)) is None:
-                        terms[word] = [1, 0]
-                    else:
-                        own[0] += 1
-                for word in set(words):
-                    terms[word][1] += 1
-                held += len(terms) - before
-                if held >= COUNTED:
+                at = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                parts = groups.setdefault((lang, source), [])
+                parts.append(np.unique(at, return_counts=True))
+                held += len(parts[-1][0])
+                if len(numbers) >= COUNTED or held >= 16 * COUNTED:
                     yield from made()
                     held = 0
         yield from made()
@@ -104,7 +107,7 @@ class Kept:
     ``sources`` (of the language)."""
 
     def __init__(self, docs: DataFrame):
-        every = checkpointed(counted(docs))
+        every = written(counted(docs))
         found = every.filter("term IS NOT NULL")
         terms = checkpointed(
             found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("in_docs"), F.count("*").alias("held"))
