@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotscope.functions import geometry as geo
 from lotscope.functions.projection import LAMBERT93
 from lotscope.functions.sizing import at_most
+from lotscope.functions.storing import stored
 from lotscope.functions.text import day_text
 from lotscope.operators.marts import described_source
 from lotscope.workspace import Workspace
@@ -132,36 +133,37 @@ def _meetings(first: bool) -> Column:
     )
 
 
-def places(ws: Workspace) -> DataFrame:
-    """One row per taxon, start and distinct geometry, however many records share it:
-    ``lots`` lists the lots there with their number of records ``n`` and the reports
-    covering the lot, ``gid`` is a stable identifier.  The list is as long as there are
-    lots, not records.
+def _hashes(*columns: Column | str) -> list[Column]:
+    """Two independent hashes: 128 bits that stand for what they are taken of."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
 
-    A taxon and start found in a single lot, or in no reported one, cannot pair and is
-    dropped; ``levels`` are the grid levels present for the taxon and start, as bits.
 
-    That is decided first, from narrow columns, so only records that may pair carry their
-    vertices into a shuffle.  The year is a join key only so that the join shuffles both
-    sides: joined on its grouping keys alone, the aggregate would be taken where it lies,
+def placed(ws: Workspace) -> DataFrame:
+    """Records (``n``) of every lot at every place that may pair, with the hashes of the place
+    (``p1``, ``p2``) and of the spot it lies in (``s1``, ``s2``).  Counted once and stored.
+
+    A place is a taxon, a start and a distinct geometry, however many records share it.  Points of
+    a taxon and start within one small square form a spot: they are all within the distance of
+    one another.  Any other place is a spot of its own.
+
+    A taxon and start found in a single lot, or in no reported one, cannot pair and is
+    dropped; ``levels`` are the grid levels present for the taxon and start, as bits.  That is
+    decided first, from narrow columns.  The year is a join key only so that the join shuffles
+    both sides: joined on its grouping keys alone, the aggregate would be taken where it lies,
     and adaptive execution splits a hot key only between two shuffled sides.
     """
-    cell = _finest(ws)
+    reach, cell = ws.params.duplicate_distance_m, _finest(ws)
     key = ["cd_nom", "date_min"]
-    year = F.year("date_min").alias("year")
-    covered = ws.report_lots.groupBy("lot_id").agg(F.collect_set("report_id").alias("reports"))
-    # What a broadcast would send are the pairs of lot and report, not the lots.
-    if at_most(ws.report_lots, ws.params.broadcast_rows):
-        covered = F.broadcast(covered)
-    placed = (
-        ws.observation.select("id_synthese", "lot_id", *key, "id_source", "id_import", "geom")
+    g = F.col("geom")
+    found = (
+        ws.observation.select("lot_id", *key, "id_source", "id_import", "geom")
         .filter(F.col("geom.kind").isNotNull())
         .filter(F.col("cd_nom").isNotNull() & F.col("date_min").isNotNull())
-        .withColumn("year", year)
+        .withColumn("year", F.year("date_min"))
     )
-    level = _level(F.col("geom"), cell)
+    level = _level(g, cell)
     several = (
-        placed.join(ws.reported_lots.withColumn("reported", F.lit(True)), "lot_id", "left")
+        found.join(ws.reported_lots.withColumn("reported", F.lit(True)), "lot_id", "left")
         .groupBy(*key, "year")
         .agg(
             F.min("lot_id").alias("lot0"), F.max("lot_id").alias("lot1"),
@@ -171,86 +173,155 @@ def places(ws: Workspace) -> DataFrame:
         .filter("reported AND lot0 <> lot1")
         .select(*key, "year", "levels")
     )
-    by_lot = (
-        placed.join(several, [*key, "year"])
-        .groupBy(*key, "levels", "id_source", "id_import", "lot_id", "geom")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id_synthese").alias("gid"))
-        .join(covered, "lot_id", "left")
+    # Somewhat below the side of the square whose diagonal is the distance.
+    side = F.lit(reach * 0.7)
+    shared = F.struct(F.floor(g["xmin"] / side), F.floor(g["ymin"] / side))
+    place, square = _hashes(*key, "geom"), _hashes(*key, shared)
+    spot = [F.when(geo.is_point(g), s).otherwise(p) if reach else p for s, p in zip(square, place)]
+    hashed = found.join(several, [*key, "year"]).withColumns(dict(zip(("p1", "p2", "s1", "s2"), [*place, *spot])))
+    return stored(
+        hashed.groupBy("p1", "p2", "s1", "s2", *key, "levels", "lot_id", "id_source", "id_import")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("geom").alias("geom"))
     )
+
+
+def places(ws: Workspace, found: DataFrame) -> DataFrame:
+    """One row per place: its hashes, taxon, start, ``geom``, and whether a ``reported`` lot is
+    there.  What lots hold of a place stays another relation."""
+    flagged = found.join(ws.reported_lots.distinct().withColumn("reported", F.lit(True)), "lot_id", "left")
+    return stored(
+        flagged.groupBy("p1", "p2", "s1", "s2", "cd_nom", "date_min", "levels")
+        .agg(F.first("geom").alias("geom"), F.max("reported").alias("reported"))
+    )
+
+
+_MEETING = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
+#: Tests of pairs that one task is given of a meeting place.
+_TESTS = 1_000_000
+
+
+def _spread(spots: DataFrame, first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides with a column ``share``: where many of the ``spots`` meet, the first side is
+    dealt out by its hash and the second repeated, so that no task is given all pairs of a hot
+    cell.  Cells are only counted when some taxon and start has spots enough for a hot one."""
+    reported = F.count(F.when(F.col("n_reported") > 0, 1))
+    many = spots.groupBy("cd_nom", "date_min").agg((F.count(F.lit(1)) * reported).alias("tests"))
+    if at_most(many.filter(F.col("tests") > _TESTS), 0):
+        return first.withColumn("share", F.lit(0)), second.withColumn("share", F.lit(0))
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*_MEETING).agg(F.count(F.lit(1)).alias(name))
+
+    heavy = counted(first, "n_first").join(counted(second, "n_second"), _MEETING).select(
+        *_MEETING, _shares(F.col("n_first"), F.col("n_second")).alias("shares")
+    ).filter("shares > 1")
+    shares = F.coalesce("shares", F.lit(1))
     return (
-        by_lot.groupBy(*key, "levels", "geom")
-        .agg(
-            F.collect_list(
-                F.struct("lot_id", "id_source", "id_import", "n", "reports")
-            ).alias("lots"),
-            F.min("gid").alias("gid"),
-        )
-        .withColumn("own", level)
+        first.join(heavy, _MEETING, "left").withColumn("share", F.pmod("a_s1", shares)).drop("shares"),
+        second.join(heavy, _MEETING, "left").withColumn("share", _each(shares)).drop("shares"),
     )
 
 
-def close_places(ws: Workspace) -> DataFrame:
-    """Pairs of places of the same taxon and start at most the distance apart, a place
-    of several lots with itself included, the first with a reported lot: one row and one
-    test of the geometries per pair of *places*, never per pair of records or lots."""
+def _shares(first: Column, second: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(first * second / _TESTS)).cast("bigint")
+
+
+def _each(shares: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1))
+
+
+def close_spots(ws: Workspace, every: DataFrame) -> DataFrame:
+    """Pairs of different spots of ``every`` place whose boxes are at most the distance apart, the
+    first with a reported lot, and the number of ``shares`` that their places are compared in.
+    They meet by their boxes alone; no vertices travel to the cells."""
     reach, cell = ws.params.duplicate_distance_m, _finest(ws)
-    meeting = ["cd_nom", "date_min", "leads", "level", "cx", "cy"]
-    every = places(ws)
-    reported = every.filter(F.exists("lots", lambda lot: lot["reports"].isNotNull()))
+    box, g = ("xmin", "ymin", "xmax", "ymax"), F.col("geom")
+    ends = [(F.min if c.endswith("min") else F.max)(g[c]).alias(c) for c in box]
+    spots = every.groupBy("s1", "s2", "cd_nom", "date_min", "levels").agg(
+        *ends, F.count(F.lit(1)).alias("n"), F.count("reported").alias("n_reported")
+    ).withColumn("geom", F.struct(*box)).drop(*box)
+    spots = stored(spots.withColumn("own", _level(F.col("geom"), cell)))
 
     def side(df: DataFrame, prefix: str, first: bool) -> DataFrame:
         cells = _in_cells(df, _meetings(first), reach if first else 0.0, cell)
-        return cells.select(
-            *[F.col(c) if c in meeting else F.col(c).alias(prefix + c) for c in cells.columns]
-        )
+        return cells.select(*_MEETING, *(F.col(c).alias(prefix + c) for c in ("s1", "s2", "geom", "n", "n_reported")))
 
     ga, gb = F.col("a_geom"), F.col("b_geom")
     size = _cell_size(F.col("level"), cell)
     corner_x = F.floor(F.greatest(ga["xmin"] - reach, gb["xmin"]) / size)
     corner_y = F.floor(F.greatest(ga["ymin"] - reach, gb["ymin"]) / size)
-    itself = F.col("a_gid") == F.col("b_gid")
-    # A place meets itself without a test, and to some effect only with several lots.
-    close = F.when(itself, F.size("a_lots") > 1).otherwise(geo.dwithin(ga, gb, reach))
+    apart = (F.col("a_s1") != F.col("b_s1")) | (F.col("a_s2") != F.col("b_s2"))
+    first, second = _spread(spots, side(spots.filter("n_reported > 0"), "a_", True), side(spots, "b_", False))
     return (
-        side(reported, "a_", True)
-        .join(side(every, "b_", False), meeting)
-        .filter((F.col("cx") == corner_x) & (F.col("cy") == corner_y) & close)
+        first.join(second, [*_MEETING, "share"])
+        .filter((F.col("cx") == corner_x) & (F.col("cy") == corner_y) & apart & (geo.box_gap(ga, gb) <= reach))
+        .select("a_s1", "a_s2", "b_s1", "b_s2", _shares(F.col("a_n_reported"), F.col("b_n")).alias("shares"))
     )
 
 
-def partners(ws: Workspace) -> DataFrame:
-    """For every report and every lot at a place: its records there (``n``) and how many
-    records of *other* lots of the report lie within the distance (``partners``).
+def close_places(ws: Workspace, every: DataFrame) -> DataFrame:
+    """Pairs of ``every`` place with places of different spots, of the same taxon and start and at most the distance
+    apart, the first with a reported lot: ``a1``, ``a2``, ``b1``, ``b2``.  There is one test of the
+    geometries per pair of *places* of close spots, never per pair of records or lots; places of
+    one spot need none."""
+    spots = stored(close_spots(ws, every))
 
-    The records of a report near a place are added up once; what the lot itself holds
-    of them is taken off, so lots are not paired with lots.
-    """
-    everywhere = F.flatten(
-        F.transform(F.col("a_lots"), lambda lot: F.coalesce(lot["reports"], F.array().cast("array<string>")))
-    )
-    near = close_places(ws).select("a_lots", "b_gid", "b_lots", F.explode(F.array_distinct(everywhere)).alias("report_id"))
-    held = F.map_from_entries(
-        F.transform(
-            F.filter("a_lots", lambda lot: F.array_contains(lot["reports"], F.col("report_id"))),
-            lambda lot: F.struct(lot["lot_id"], lot["n"]),
-        )
+    def of(prefix: str, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("s1", "s2", "p1", "p2", "geom")))
+
+    pair = ["a_s1", "a_s2", "b_s1", "b_s2", "share"]
+    first = spots.join(of("a", every.filter("reported")), pair[:2]).withColumn("share", F.pmod("a_p1", "shares"))
+    second = spots.withColumn("share", _each(F.col("shares"))).join(of("b", every), pair[2:4])
+    return (
+        first.drop("shares").join(second.drop("shares"), pair)
+        .filter(geo.dwithin(F.col("a_geom"), F.col("b_geom"), ws.params.duplicate_distance_m))
+        .select(*(F.col(f"{x}_p{i}").alias(f"{x}{i}") for x in "ab" for i in (1, 2)))
     )
-    total = F.aggregate(F.map_values("held"), F.lit(0).cast("bigint"), lambda t, n: t + n)
 
-    def others(lot: Column) -> Column:
-        own = F.coalesce(F.try_element_at(F.col("held"), lot["lot_id"]), F.lit(0))
-        return F.struct(
-            lot["id_source"].alias("id_source"), lot["id_import"].alias("id_import"),
-            lot["n"].alias("n"), (F.col("total") - own).alias("partners"),
-        )
 
+def _partners(ws: Workspace, near: DataFrame, held: DataFrame, *at: str) -> DataFrame:
+    """The rows of ``held`` for each report with records of *other* lots of it ``near``, and
+    their number as ``partners``.  ``near`` has the records ``n`` of a lot near each ``at``.
+
+    The records of a report are added up once; what the lot itself holds of them is taken
+    off, so lots are not paired with lots.
+    """
+    of_reports = ws.per_report(near).select("report_id", "lot_id", *at, F.col("n").alias("own"))
+    totals = of_reports.groupBy("report_id", *at).agg(F.sum("own").alias("total"))
+    left = F.col("total") - F.coalesce("own", F.lit(0))
     return (
-        near.withColumn("held", held)
-        .withColumn("total", total)
-        .select("report_id", "b_gid", F.inline(F.transform("b_lots", others)))
-        .filter("partners > 0")
-        .groupBy("report_id", "b_gid", "id_source", "id_import", "n")
-        .agg(F.sum("partners").alias("partners"))
+        totals.join(held, [*at]).join(of_reports, ["report_id", "lot_id", *at], "left")
+        .withColumn("partners", left).filter("partners > 0").drop("total", "own")
+    )
+
+
+def partners(ws: Workspace) -> DataFrame:
+    """By report, source and import: the ``records`` that have records of *other* lots of the
+    report within the distance, and the number of such ``pairs``.
+
+    Within a spot, records are only counted by lot.  Between spots they are counted for each
+    place of a close pair; a record with partners of both kinds is counted once.
+    """
+    found = placed(ws)
+    held = found.drop("cd_nom", "date_min", "levels", "geom")
+    lot = ["lot_id", "id_source", "id_import"]
+    spots = held.groupBy("s1", "s2", *lot).agg(F.sum("n").alias("n"))
+    by_lot = spots.groupBy("s1", "s2", "lot_id").agg(F.sum("n").alias("n"))
+    within = _partners(ws, by_lot, spots, "s1", "s2")
+    pairs = close_places(ws, places(ws, found))
+    near = (
+        pairs.join(held.select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), "lot_id", "n"), ["a1", "a2"])
+        .groupBy(F.col("b1").alias("p1"), F.col("b2").alias("p2"), "lot_id").agg(F.sum("n").alias("n"))
+    )
+    between = _partners(ws, near, held, "p1", "p2").join(
+        within.select("report_id", "s1", "s2", "lot_id", F.lit(True).alias("counted")),
+        ["report_id", "s1", "s2", "lot_id"], "left",
+    )
+    both = within.withColumn("records", F.col("n")).unionByName(
+        between.withColumn("records", F.when(F.col("counted"), 0).otherwise(F.col("n"))), allowMissingColumns=True
+    )
+    return both.groupBy("report_id", "id_source", "id_import").agg(
+        F.sum("records").alias("records"), F.sum(F.col("n") * F.col("partners")).alias("pairs")
     )
 
 
@@ -260,9 +331,7 @@ def across_lots(ws: Workspace) -> DataFrame:
 
     The other side is the whole base, so another lot of the same report counts too.
     """
-    by_lot = partners(ws).groupBy("report_id", "id_source", "id_import").agg(
-        F.sum("n").alias("records"), F.sum(F.col("n") * F.col("partners")).alias("pairs")
-    )
+    by_lot = partners(ws)
     imports = ws.tables.import_.select("id_import", F.col("additional_data").alias("import_data"))
     return (
         by_lot.join(ws.tables.source.select("id_source", "desc_source"), "id_source")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import shapes
-from lotscope.functions import sizing, text
+from lotscope.functions import geometry, sizing, text
 from lotscope.model import GEOMETRY_DDL
 from lotscope.operators import (
     area_index, duplicates, invasive, kpi, layers, marts, metadata, reports, spatial, taxonomy,
@@ -591,6 +591,33 @@ def test_duplicates_across_lots_with_one_hot_place(spark, make):
     assert got["r", "s1"] == (10000, 10000 * 2000) == got["r", "s2"]
 
 
+def test_duplicates_across_lots_in_a_crowded_square(spark, make, monkeypatch):
+    """Distinct points within one square are counted by lot; others meet in shares."""
+    monkeypatch.setattr(duplicates, "_TESTS", 40)
+    rng = random.Random(8)
+    records = [
+        dict(id_synthese=i, id_source=i % 3, id_import=i % 2, cd_nom=1, date_min=day(1),
+             geom=shapes.point(rng.uniform(0, 3), rng.uniform(0, 2)) if i % 9 else shapes.box(1, 1, 1.5, 1.2))
+        for i in range(240)
+    ]
+    lots = {"r": [(0, 0), (1, 1)], "q": [(2, 0)]}
+    assert across_case(spark, make, records, lots) == brute_across(records, lots)
+    # Too many to be compared: 100 000 distinct points in one square, a third of one lot.
+    crowd = spark.range(100_000).select(
+        F.col("id").alias("id_synthese"), (F.col("id") % 3).cast("int").alias("id_source"), F.lit(1).alias("id_import"),
+        F.lit(1).alias("cd_nom"), F.lit(day(1)).cast("timestamp_ntz").alias("date_min"),
+        geometry.point(10.0 + F.col("id") % 317 / 1000.0, 10.0 + F.col("id") / 317 / 1000.0).alias("geom"),
+    )
+    ws = make(
+        observation=crowd, report=report(spark, r="0_1"),
+        source=spark.createDataFrame([(i, f"s{i}") for i in range(3)], "id_source int, desc_source string"),
+    )
+    got = {r["nom_source"]: (r["nombre_donnees_dupliquees"], r["nb_paires"]) for r in duplicates.across_lots(ws).collect()}
+    assert got == {f"s{i}": (33333, 33333 * 33334) for i in (1, 2)}
+    plan = duplicates.across_lots(ws)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
 def test_duplicates_of_the_import_module_are_named_by_the_import(spark, make):
     records = [
         dict(id_source=1, id_import=1, cd_nom=1, date_min=day(1), geom=shapes.point(0, 0)),
