@@ -448,7 +448,7 @@ def test_counts_equal_the_library(make):
 
 def test_every_operator_has_a_query_and_a_clean_plan(spark):
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     for build in (winnowing.op1_winnowing, line_dedup.op4_line_winnowing):
