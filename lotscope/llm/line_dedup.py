@@ -3,9 +3,10 @@
 A window is the shortest run of whole lines that begins (or ends) at a given line and holds at
 least ``MIN_WORDS`` words.  Its smallest line hash, the rightmost of equal ones, is its
 fingerprint.  Two copies of a run with that many words contain the same windows and so the same
-fingerprints.  Only fingerprints that occur at several positions go on; from each the match is
-extended to both ends of its windows, which are compared with their first occurrence.  The
-windows that begin at a line and those that end at one together cover a repeated run to its
+fingerprints.  Only windows whose fingerprint occurs at several positions go on; these are
+grouped by 96 bits of hash over all of their lines, and the first of each group stays.  Matches
+are not extended from pairs of positions, whose number may grow with the square of the copies:
+the windows that begin at a line and those that end at one together cover a repeated run to its
 last line.
 """
 
@@ -101,7 +102,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``removed`` (the ranges of line numbers), ``n_lines``, ``n_removed``.
 
     A run is repeated if consecutive lines with at least ``min_words`` words in all are the
-    same, character for character, as lines earlier in the table.  Lines without words are
+    same as lines earlier in the table, by hashes of the whole lines (64 bits a line, 96 a
+    window).  All lines of one document are put in order in one task.  Lines without words are
     passed over, and go where they stand inside a deleted run.  A null text stays null; a text
     that loses all lines becomes empty.  Repeated rows with one doc_id and text are one
     document and stay alike; other columns stay as they are, but for those of the names above,
