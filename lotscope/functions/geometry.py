@@ -350,7 +350,7 @@ def intersects(a: Column, b: Column) -> Column:
 
 def _decimal(v: Column, digits: int) -> Column:
     fixed = F.format_string(f"%.{digits}f", F.round(v, digits) + F.lit(0.0))
-    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
 
 
 def geojson(g: Column, digits: int = 9) -> Column:

@@ -12,18 +12,23 @@ from lotscope.model import ADVISED_STATUS_CODES, STATUS_TYPE
 from lotscope.workspace import Workspace
 
 
-def latest_validation(ws: Workspace) -> DataFrame:
+def latest_validation(ws: Workspace, records: DataFrame | None = None) -> DataFrame:
     """The validations dated as late as any of their record: ties are all kept, a
-    missing record or date never matches.
+    missing record or date never matches.  With ``records`` (``uuid``), only theirs: the
+    rest of the history goes before anything is aggregated.
 
     The latest date is found by a combining aggregate and joined back, not by a
     window: the history of one record, however long, is never gathered in one task.
     """
     history = ws.tables.validation
+    columns = history.columns
+    if records is not None:
+        wanted = records.select(F.col("uuid").alias("uuid_attached_row"))
+        history = history.join(wanted, "uuid_attached_row", "left_semi")
     latest = history.groupBy("uuid_attached_row").agg(
         F.max("validation_date").alias("validation_date")
     )
-    return history.join(latest, ["uuid_attached_row", "validation_date"]).select(history.columns)
+    return history.join(latest, ["uuid_attached_row", "validation_date"]).select(columns)
 
 
 def nomenclature_id(ws: Workspace, type_code: str, code: str) -> Column:
@@ -66,15 +71,6 @@ def to_review(ws: Workspace) -> DataFrame:
     """Records whose latest validation has none of the advised statuses, with the
     label of the record's own status."""
     advised = [nomenclature_id(ws, STATUS_TYPE, code) for code in ADVISED_STATUS_CODES]
-    latest = (
-        latest_validation(ws)
-        .filter(_none_of(F.col("id_nomenclature_valid_status"), advised))
-        .select(
-            F.col("uuid_attached_row").alias("uuid"),
-            F.col("validation_comment").alias("commentaire"),
-            day_text(F.col("validation_date")).alias("date_commentaire"),
-        )
-    )
     records = ws.reported(
         ws.observation.select(
             F.col("unique_id_sinp").alias("uuid"),
@@ -83,6 +79,15 @@ def to_review(ws: Workspace) -> DataFrame:
             F.col("id_nomenclature_valid_status").alias("status"),
         ).filter(F.col("status").isNotNull())
     )
+    latest = (
+        latest_validation(ws, records)
+        .filter(_none_of(F.col("id_nomenclature_valid_status"), advised))
+        .select(
+            F.col("uuid_attached_row").alias("uuid"),
+            F.col("validation_comment").alias("commentaire"),
+            day_text(F.col("validation_date")).alias("date_commentaire"),
+        )
+    )
     labels = ws.tables.nomenclature.select(
         F.col("id_nomenclature").alias("status"), F.col("label_default").alias("label_valid_status")
     )

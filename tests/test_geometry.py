@@ -254,3 +254,8 @@ def test_geojson_that_is_no_geometry_gives_null(spark):
 def test_geojson_with_heights(spark):
     df = spark.createDataFrame([('{"type":"Point","coordinates":[1,2,300]}',)], "t string")
     assert df.select(geo.geojson(geo.from_geojson(F.col("t")))).first()[0] == '{"type":"Point","coordinates":[1,2]}'
+
+
+def test_geojson_without_decimals_keeps_its_zeros(spark):
+    got = spark.range(1).select(geo._decimal(F.lit(100.2), 0), geo._decimal(F.lit(-0.2), 0), geo._decimal(F.lit(10.50), 3), geo._decimal(F.lit(20.0), 2)).first()
+    assert tuple(got) == ("100", "0", "10.5", "20")

@@ -501,6 +501,19 @@ def test_to_review_is_empty_when_an_advised_status_is_unknown(spark, make):
     assert validation.to_review(review_base(spark, make, CODES[:2] + CODES[3:])).count() == 0
 
 
+def test_history_of_other_records_goes_before_it_is_aggregated(spark, make):
+    ws = make(validation=validations(
+        spark, [(1, "a", 1, day(1)), (2, "a", 2, day(2)), (3, "a", 3, day(2)), (4, "b", 1, day(3)), (5, None, 1, day(9))],
+    ))
+    records = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "uuid string")
+    latest = validation.latest_validation(ws, records)
+    assert sorted(r[0] for r in latest.collect()) == [2, 3]
+    plan = latest._jdf.queryExecution().optimizedPlan().toString()
+    # Both readings of the history, the aggregated one and the other, are cut first.
+    assert plan.count("Join LeftSemi") == 2
+    assert plan.index("Aggregate") < plan.rindex("Join LeftSemi")
+
+
 # -- duplicates ----------------------------------------------------------------
 
 def test_duplicates_within_a_report(spark, make):
