@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotscope.functions import geometry as geo
+from lotscope.functions.storing import stored
 
 # Widens the reach when cells are assigned, so that rounding never loses one.
 _SLACK = 1e-6
@@ -105,8 +106,8 @@ def build(areas: DataFrame, key: str, size: float, reach: float, broadcast_rows:
     """Index ``areas`` (``key``, ``geom``).
 
     One row of totals is fetched: it bounds the number of cells and segments.  Where these
-    are few, what would be sent is counted, segments repeated by cell included, and that
-    decides whether the index may be broadcast.
+    are few, the index is stored and what would be sent is counted there, segments repeated by
+    cell included; that decides whether it may be broadcast.
     """
     areas = areas.select(key, "geom").filter(F.col("geom").isNotNull())
     g = F.col("geom")
@@ -152,6 +153,9 @@ def build(areas: DataFrame, key: str, size: float, reach: float, broadcast_rows:
         .filter(bounding | F.col("inside"))
         .select(key, "cx", "cy", "inside", "near", F.when(bounding, F.col("strip")).alias("strip"))
     )
-    if extent is None or max(totals[4], totals[5]) <= broadcast_rows and _pieces(cells) <= broadcast_rows:
+    if extent is None:
         cells = F.broadcast(cells)
+    elif max(totals[4], totals[5]) <= broadcast_rows:
+        cells = stored(cells)
+        cells = F.broadcast(cells) if _pieces(cells) <= broadcast_rows else cells
     return AreaIndex(cells, size, reach, extent)
