@@ -138,13 +138,19 @@ def _hashes(*columns: Column | str) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
 
 
+def _anchor(g: Column) -> tuple[Column, Column]:
+    """A point of the geometry: the point itself, else the first vertex of its first ring."""
+    first = F.get(F.get(F.get(g["parts"], 0)["rings"], 0), 0)
+    return tuple(F.when(geo.is_point(g), g[f"{c}min"]).otherwise(first[c]) for c in "xy")
+
+
 def placed(ws: Workspace) -> DataFrame:
     """Records (``n``) of every lot at every place that may pair, with the hashes of the place
     (``p1``, ``p2``) and of the spot it lies in (``s1``, ``s2``).  Counted once and stored.
 
-    A place is a taxon, a start and a distinct geometry, however many records share it.  Points of
-    a taxon and start within one small square form a spot: they are all within the distance of
-    one another.  Any other place is a spot of its own.
+    A place is a taxon, a start and a distinct geometry, however many records share it.  Places of
+    a taxon and start whose anchor, a point of the geometry, lies within one small square form a
+    spot: they are all within the distance of one another.  A place without one is a spot of its own.
 
     A taxon and start found in a single lot, or in no reported one, cannot pair and is
     dropped; ``levels`` are the grid levels present for the taxon and start, as bits.  That is
@@ -175,9 +181,10 @@ def placed(ws: Workspace) -> DataFrame:
     )
     # Somewhat below the side of the square whose diagonal is the distance.
     side = F.lit(reach * 0.7)
-    shared = F.struct(F.floor(g["xmin"] / side), F.floor(g["ymin"] / side))
+    x, y = _anchor(g)
+    shared = F.struct(F.floor(x / side), F.floor(y / side))
     place, square = _hashes(*key, "geom"), _hashes(*key, shared)
-    spot = [F.when(geo.is_point(g), s).otherwise(p) if reach else p for s, p in zip(square, place)]
+    spot = [F.when(x.isNotNull() & y.isNotNull(), s).otherwise(p) if reach else p for s, p in zip(square, place)]
     hashed = found.join(several, [*key, "year"]).withColumns(dict(zip(("p1", "p2", "s1", "s2"), [*place, *spot])))
     return stored(
         hashed.groupBy("p1", "p2", "s1", "s2", *key, "levels", "lot_id", "id_source", "id_import")

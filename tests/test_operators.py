@@ -631,6 +631,24 @@ def test_duplicates_across_lots_in_a_crowded_square(spark, make, monkeypatch):
     assert "collect_list" not in plan and "collect_set" not in plan
 
 
+def test_duplicates_across_lots_of_shapes_from_one_corner(spark, make):
+    """Boxes and lines whose first vertex lies in one small square form one spot: counted by lot,
+    with no pair of places compared."""
+    records = [
+        dict(id_synthese=i, id_source=i % 3, id_import=i % 2, cd_nom=1, date_min=day(1),
+             geom=shapes.box(i % 4 * 0.1, 0, 5 + i, 3 + i % 7) if i % 3 else shapes.line((0.2, i % 5 * 0.1), (40 + i, 9)))
+        for i in range(60)
+    ]
+    lots = {"r": [(0, 0), (1, 1)], "q": [(2, 0)]}
+    assert across_case(spark, make, records, lots) == brute_across(records, lots)
+    ws = make(
+        observation=observations(spark, records), report=report(spark, r="0_0, 1_1"),
+        source=spark.createDataFrame([(i, f"s{i}") for i in range(5)], "id_source int, desc_source string"),
+    )
+    found = duplicates.placed(ws)
+    assert duplicates.close_places(ws, duplicates.places(ws, found)).count() == 0
+
+
 def test_duplicates_of_the_import_module_are_named_by_the_import(spark, make):
     records = [
         dict(id_source=1, id_import=1, cd_nom=1, date_min=day(1), geom=shapes.point(0, 0)),
