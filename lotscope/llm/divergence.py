@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ LEAST_DOCS, RANKS = 10, 10
 SCALE = 1_000_000_000
 #: Different terms of all groups that a worker counts before it hands them on.
 COUNTED = 1 << 18
+#: Documents whose words are split and looked up together.
+SLICE = 1000
 #: Terms of one source that a worker looks at before it drops those that can't be ranked.
 LOOKED_AT = 1 << 14
 #: Sources that are compared as one block, and terms at a time.
@@ -75,12 +78,25 @@ def counted(docs: DataFrame) -> DataFrame:
             numbers.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.translate(TERM_BYTES).split()
-                at = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                parts = groups.setdefault((lang, source), [])
-                parts.append(np.unique(at, return_counts=True))
-                held += len(parts[-1][0])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                names: dict[tuple[str, str], int] = {}
+                of = np.array([names.setdefault(k, len(names)) for k in zip(*(c.to_pylist() for c in part.columns[:2]))], np.int64)
+                # Words of all texts of the slice at once; each different word is looked up once.
+                split = pc.split_pattern(pa.array([t.translate(TERM_BYTES) for t in part.column(2).to_pylist()], pa.binary()), b" ")
+                words, doc = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+                real = pc.not_equal(pc.binary_length(words), 0)
+                words, doc = pc.dictionary_encode(words.filter(real)), doc[real.to_numpy(zero_copy_only=False)]
+                known = np.fromiter(map(numbers.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+                # Each term of a document once, with its occurrences there.
+                pairs, times = np.unique((doc.astype(np.int64) << 32) | known[words.indices.to_numpy()], return_counts=True)
+                group = of[pairs >> 32]
+                order = np.argsort(group, kind="stable")
+                bounds = np.searchsorted(group[order], np.arange(len(names) + 1))
+                terms, times = (pairs[order] & 0xFFFFFFFF).astype(np.int32), times[order]
+                for key, i in names.items():
+                    groups.setdefault(key, []).append((terms[bounds[i] : bounds[i + 1]], times[bounds[i] : bounds[i + 1]]))
+                held += len(pairs)
                 if len(numbers) >= COUNTED or held >= 16 * COUNTED:
                     yield from made()
                     held = 0

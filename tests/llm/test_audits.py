@@ -146,3 +146,16 @@ def test_band_keeps_what_can_be_ranked():
         names = rng.sample([f"t{i}" for i in range(500)], size)
         ahead = [sum((n[i] >= n[j]) and (lang_n[i] <= lang_n[j]) and (names[i] < names[j]) for i in range(size)) for j in range(size)]
         assert sorted(divergence.skyband(n, lang_n, names, 4)) == [j for j in range(size) if ahead[j] < 4 or size <= 4]
+
+
+@pytest.mark.parametrize("slice_", [1, 2, 1000])
+def test_counted_terms_across_slices(spark, monkeypatch, slice_):
+    monkeypatch.setattr(divergence, "SLICE", slice_)
+    rows = [("en", "a", "Cat cat dog"), ("en", "b", None), ("en", "a", "dog  1 Dog"), (None, None, "É é x"), ("fr", "a", "...")]
+    docs = spark.createDataFrame([(i, t, lang, s) for i, (lang, s, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string").repartition(2)
+    got = {(r.lang, r.source, r.term): (r.n, r.docs) for r in divergence.counted(docs).collect()}
+    assert got == {
+        ("en", "a", None): (0, 0), ("en", "a", "cat"): (2, 1), ("en", "a", "dog"): (3, 2),
+        ("en", "b", None): (0, 0), ("", "", None): (0, 0), ("", "", "É"): (1, 1), ("", "", "é"): (1, 1), ("", "", "x"): (1, 1),
+        ("fr", "a", None): (0, 0),
+    }
