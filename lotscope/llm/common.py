@@ -43,11 +43,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read back: for wide or large
-    tables, since checkpoints are not compressed."""
+    tables, since checkpoints are not compressed.  ``options`` are the writer's."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,8 @@
 Words are counted in a sparse matrix of documents and terms.  Each batch of documents is a shard
 with its own list of words, in compressed rows.  All lists together make one dictionary, which
 gives a word its hash as its number once no two words of the corpus are found to share one, and
-else the place where it lies; the shards' columns are numbered by it.  Sums and numbers of entries of the rows decide on A
+else the place where it lies; the shards' columns are numbered by it.  A task holds a few shards
+at a time, however many it reads: a shard is a row, and rows lie in small groups.  Sums and numbers of entries of the rows decide on A
 (too few words) and B (too few distinct ones).  C (capitals), D (marks) and E (copies) are told
 of the text itself, and all that is left is counted by part and by which filters fail: 32 numbers
 from which every order follows.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import count, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 MARKS = "[#$%&*|]"
 ORDERS = ["".join(p) for p in permutations(LETTERS)]
 #: Bytes of text at which a shard ends, with a document.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 512 << 10
+#: Shards in a row group of the written matrix: so many are in memory where it is written or read.
+GROUP = 16
 #: Shards that one partition may number.
 NUMBERS = 1 << 32
 
@@ -43,8 +46,8 @@ class Shard:
     """A batch of documents in compressed rows, its words numbered as they come."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
+        # By a counter: a dictionary that asks itself would stay until Python looks for cycles.
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
         self.docs: list[dict] = []
         self.columns: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -104,13 +107,19 @@ def _hashed(word):
     return F.xxhash64(word)
 
 
+def clashes(own: DataFrame) -> DataFrame:
+    """The ``hash`` of which ``own`` (word) has several words.  Words are told apart as keys, which
+    are hashed where they lie: the least and largest word of a hash would be found by sorting all."""
+    distinct = own.select(_hashed(F.col("word")).alias("hash"), "word").distinct()
+    return distinct.groupBy("hash").agg(F.count("*").alias("words")).filter("words > 1").select("hash")
+
+
 def matrix(docs: DataFrame) -> DataFrame:
     """The shards with ``terms``: for each of a shard's words its number in the dictionary of
     the whole corpus, so that ``terms[columns]`` are the columns of the one large matrix."""
-    made = written(shards(docs))
+    made = written(shards(docs), **{"parquet.block.row.count.limit": str(GROUP)})
     own = made.select("shard", F.posexplode("words").alias("column", "word"))
-    by_hash = own.groupBy(_hashed(F.col("word")).alias("hash")).agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    if not by_hash.filter("low < high").limit(1).count():
+    if not clashes(own).limit(1).count():
         return made.withColumn("terms", F.transform("words", _hashed)).drop("words")
     # Numbered in a range for each partition of one written table.
     terms = written(own.select("word").distinct()).withColumn("term", F.monotonically_increasing_id())

@@ -1,11 +1,13 @@
 """Filters in every order, and how sources differ, against the definitions in plain Python."""
 
+import gc
 import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,39 @@ def test_counted_terms_across_slices(spark, monkeypatch, slice_):
         ("en", "b", None): (0, 0), ("", "", None): (0, 0), ("", "", "É"): (1, 1), ("", "", "é"): (1, 1), ("", "", "x"): (1, 1),
         ("fr", "a", None): (0, 0),
     }
+
+
+def test_a_shard_goes_with_its_last_use():
+    gc.collect()
+    gc.disable()
+    try:
+        shard = filter_audit.Shard()
+        shard.add({"doc_id": 1}, b"a b a c")
+        assert shard.row(7)[1] == [b"a", b"b", b"c"]
+        del shard
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_few_shards_are_in_memory_at_once(spark, make, monkeypatch):
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 30)
+    files, written = [], filter_audit.written
+
+    def seen(df, *args, **options):
+        made = written(df, *args, **options)
+        files.extend(f.removeprefix("file://") for f in made.inputFiles())
+        return made
+
+    monkeypatch.setattr(filter_audit, "written", seen)
+    filter_audit.matrix(make([(i, f"some words of text {i} " * 2) for i in range(100)], parts=1))
+    rows = [m.row_group(i).num_rows for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert sum(rows) > 50 and max(rows) <= 16
+
+
+def test_words_that_share_a_hash_are_found_without_a_sort(spark, monkeypatch):
+    words = spark.createDataFrame([(w,) for w in (b"a", b"b", b"a", b"c", b"c")], "word binary").repartition(3)
+    assert filter_audit.clashes(words).collect() == []
+    assert "SortAggregate" not in filter_audit.clashes(words)._jdf.queryExecution().toString()
+    monkeypatch.setattr(filter_audit, "_hashed", lambda word: F.when(word == b"c", F.lit(3)).otherwise(F.lit(1)))
+    assert [r.hash for r in filter_audit.clashes(words).collect()] == [1]
